@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .source_mix import op6_source_mix
 
 QUERIES = {
+    "op6_source_mix": op6_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
