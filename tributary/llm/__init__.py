@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .pii import op1_pii
+from .simhash_dedup import op3_simhash_dedup
 from .source_mix import op6_source_mix
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op6_source_mix": op6_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
 }
