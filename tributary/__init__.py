@@ -1,0 +1,10 @@
+"""Tributary: typed dataflow analytics on Spark DataFrames."""
+
+from __future__ import annotations
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
