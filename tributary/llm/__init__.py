@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from .chat_format import OP2_SQL, op2_chat_format
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .pii import op1_pii
+from .secret_scan import op4_secret_scan
 from .simhash_dedup import op3_simhash_dedup
 from .source_mix import op6_source_mix
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_chat_format": op2_chat_format,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op6_source_mix": op6_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLES = {
+    "op2_chat_format": OP2_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
