@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP2_SQL, op2_chat_format
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .pack import op9_best_fit_pack
 from .pii import op1_pii
 from .secret_scan import op4_secret_scan
 from .simhash_dedup import op3_simhash_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op6_source_mix": op6_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_best_fit_pack": op9_best_fit_pack,
 }
 
 ORACLES = {
