@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from .chat_format import OP2_SQL, op2_chat_format
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .line_dedup import op10_line_dedup
 from .pack import op9_best_fit_pack
 from .pii import op1_pii
 from .secret_scan import op4_secret_scan
 from .simhash_dedup import op3_simhash_dedup
 from .source_mix import op6_source_mix
+from .toxicity import op5_toxicity
+from .vector_search import op7_vector_search
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_chat_format": op2_chat_format,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_toxicity": op5_toxicity,
     "op6_source_mix": op6_source_mix,
+    "op7_vector_search": op7_vector_search,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_pack": op9_best_fit_pack,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
