@@ -217,5 +217,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return simhash_components(materialise(fingerprints(docs, id_col, text_col), "prints"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay when each component keeps its smallest doc_id; of rows that repeat that id, one.
+
+    Only the ids that go are joined with the texts: a broadcast where they are few, else a shuffle. Rows
+    without an id stay.
+    """
+    found = materialise(near_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), "component_id"), "components")
+    gone = found.filter("_id <> component_id").select("_id").distinct()
+    again = found.filter("_id = component_id").groupBy("_id").count().filter("count > 1").select("_id")
+    key = F.col("_id") == docs[id_col].cast("long")
+    single = docs.join(gone.union(again), key, "left_anti")
+    repeated = docs.join(again, key, "left_semi").dropDuplicates([id_col])
+    return single.unionByName(repeated)
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,7 +65,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: fl
     return ranked.select("source", "source_size", F.least(limit, F.col("_w") * level).alias("target"))
 
 
-def _boundary(rows: DataFrame, key: list[str], bucket: F.Column, last: bool) -> DataFrame:
+def _boundary(rows: DataFrame, key: list[str], bucket: Column, last: bool) -> DataFrame:
     """For each source in rows(source, _budget, size, _h): the bucket in which its budget runs out.
 
     On the last level a bucket is one hash value: it is in when that brings the sum nearer to the budget.
@@ -78,10 +78,12 @@ def _boundary(rows: DataFrame, key: list[str], bucket: F.Column, last: bool) ->
     return found.select(*key, "_b", left.alias("_left"), taken.alias("_taken"))
 
 
-def mix_sources(rows: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 6) -> DataFrame:
-    """rows(doc_id, source, size) -> doc_id, source, size, source_size, target, taken."""
-    rows = rows.select("doc_id", "source", "size", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_h"))
-    rows = materialise(rows, "sized")
+def _hash(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
+
+
+def mix_plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """rows(source, size, _h), materialised -> one row per source (_src): source_size, target, and how its documents are taken."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0).cast("long")
     targets = source_targets(sizes, weights, cap).withColumn("_whole", whole)
@@ -90,28 +92,47 @@ def mix_sources(rows: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float
 
     # Each level keeps only the rows of the boundary bucket of their source.
     open_rows = rows.join(targets.filter("_budget > 0").select("_src", "_budget"), F.col("source").eqNullSafe(F.col("_src"))).select("_src", "_budget", "size", "_h")
-    shift, threshold = 64, targets.select("_src", F.lit(0).cast("long").alias("_thr"))
+    none = F.lit(0).cast("long")
+    shift, threshold = 64, targets.select("_src", none.alias("_thr"))
     for i, bits in enumerate(LEVELS):
         shift -= bits
         bucket = F.shiftrightunsigned("_h", shift).bitwiseAND((1 << bits) - 1)
         last = i == len(LEVELS) - 1
         edge = materialise(_boundary(open_rows, ["_src"], bucket, last), f"edge{i}").withColumnRenamed("_src", "_s")
-        threshold = threshold.join(edge, F.col("_src").eqNullSafe(F.col("_s")), "left").select(
-            "_src", F.col("_thr").bitwiseOR(F.shiftleft(F.coalesce("_b", F.lit(0).cast("long")), shift)).alias("_thr"), *([F.coalesce("_taken", F.lit(0).cast("long")).alias("_incl")] if last else [])
-        )
+        prefix = F.col("_thr").bitwiseOR(F.shiftleft(F.coalesce("_b", none), shift)).alias("_thr")
+        included = [F.coalesce("_taken", none).alias("_incl")] if last else []
+        threshold = threshold.join(edge, F.col("_src").eqNullSafe(F.col("_s")), "left").select("_src", prefix, *included)
         if not last:
-            open_rows = materialise(
-                open_rows.join(edge, F.col("_src").eqNullSafe(F.col("_s")) & (bucket == F.col("_b"))).select("_src", F.col("_left").alias("_budget"), "size", "_h"), f"open{i}"
-            )
+            inside = open_rows.join(edge, F.col("_src").eqNullSafe(F.col("_s")) & (bucket == F.col("_b")))
+            open_rows = materialise(inside.select("_src", F.col("_left").alias("_budget"), "size", "_h"), f"open{i}")
     threshold = threshold.withColumnRenamed("_src", "_t")
-    plan = materialise(targets.join(threshold, F.col("_src").eqNullSafe(F.col("_t"))).drop("_t"), "plan")
+    return materialise(targets.join(threshold, F.col("_src").eqNullSafe(F.col("_t"))).drop("_t"), "plan")
+
 
+def _times(h: Column) -> Column:
+    """How often a document with hash h is taken under the plan's row of its source."""
     flip = F.lit(_MIN).cast("long")  # unsigned order as signed order
-    h, thr = F.col("_h").bitwiseXOR(flip), F.col("_thr").bitwiseXOR(flip)
-    extra = (F.col("_budget") > 0) & ((h < thr) | ((h == thr) & (F.col("_incl") == 1)))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("_src"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("_whole") + extra.cast("long"))).alias("taken"), (F.col("_whole") + extra.cast("long")).alias("times")
-    )
+    at, bar = h.bitwiseXOR(flip), F.col("_thr").bitwiseXOR(flip)
+    extra = (F.col("_budget") > 0) & ((at < bar) | ((at == bar) & (F.col("_incl") == 1)))
+    return F.col("_whole") + extra.cast("long")
+
+
+def mix_sources(rows: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 6) -> DataFrame:
+    """rows(doc_id, source, size) -> doc_id, source, size, source_size, target, taken."""
+    rows = materialise(rows.select("doc_id", "source", "size", _hash(seed).alias("_h")), "sized")
+    plan = mix_plan(rows, weights, cap)
+    taken = (F.col("size") * _times(F.col("_h"))).alias("taken")
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("_src"))).select("doc_id", "source", "size", "source_size", "target", taken)
+
+
+def take_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 6) -> DataFrame:
+    """The rows of docs(doc_id, source, text, ...) that the mix takes, each as often as it is taken."""
+    rows = materialise(docs.select("source", word_count(F.col("text")).alias("size"), _hash(seed).alias("_h")), "sized")
+    plan = mix_plan(rows, weights, cap).select("_src", "_whole", "_budget", "_thr", "_incl")
+    dealt = docs.join(plan, docs["source"].eqNullSafe(plan["_src"]))
+    times = _times(_hash(seed)).cast("int")
+    repeated = dealt.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
+    return repeated.select(*(docs[c] for c in docs.columns))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

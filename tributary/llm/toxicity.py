@@ -185,6 +185,19 @@ def grade(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(_scorer(model), "doc_id long, severity double, p_toxic double").withColumn("toxic", F.col("severity") >= F.lit(model.bar))
 
 
+def drop_toxic(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text the model does not call toxic, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                yield part.filter(pa.array([model.score(t.as_py())[0] < model.bar for t in part.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return grade(docs, train(docs, table(spark, sf_dir, "labels")))
