@@ -127,12 +127,12 @@ def mix_sources(rows: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float
 
 def take_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 6) -> DataFrame:
     """The rows of docs(doc_id, source, text, ...) that the mix takes, each as often as it is taken."""
-    rows = materialise(docs.select("source", word_count(F.col("text")).alias("size"), _hash(seed).alias("_h")), "sized")
-    plan = mix_plan(rows, weights, cap).select("_src", "_whole", "_budget", "_thr", "_incl")
-    dealt = docs.join(plan, docs["source"].eqNullSafe(plan["_src"]))
-    times = _times(_hash(seed)).cast("int")
-    repeated = dealt.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    # The rows travel as one struct, so no column of docs meets one of the operator's own.
+    rows = docs.select(F.struct("*").alias("_row"), F.col("source"), _hash(seed).alias("_h"), word_count(F.col("text")).alias("size"))
+    plan = mix_plan(materialise(rows.select("source", "size", "_h"), "sized"), weights, cap).select("_src", "_whole", "_budget", "_thr", "_incl")
+    dealt = rows.select("_row", "source", "_h").join(plan, F.col("source").eqNullSafe(F.col("_src")))
+    repeated = dealt.withColumn("_times", _times(F.col("_h")).cast("int")).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
+    return repeated.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
