@@ -15,7 +15,7 @@ a shuffle otherwise, and Spark splits its hot leaves. Documents of a template ar
 first made unique within each document. Lines dropped are returned as positions to their document.
 
 Defined results. Lines end at U+000A. A null text stays null, an empty one empty, with 0 lines dropped.
-Lines of fewer than MIN_TOKENS tokens are never dropped. A line that repeats only inside one document is
+Tokens are what single spaces separate; lines of fewer than MIN_TOKENS are never dropped. A line that repeats only inside one document is
 no recurrence. A document is a (doc_id, text) pair: rows that repeat both count once and are treated
 alike. A document all of whose lines are dropped stays, with the empty text. An empty table gives an empty result.
 """
@@ -31,59 +31,69 @@ MIN_DOCS, MIN_TOKENS, LEADING, FREE = 4, 3, 3, 6
 WILD = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line, those with a digit generalised."""
-    plain = F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^\\s]*[0-9][^\\s]*", WILD)).otherwise(line)
-    return F.split(F.regexp_replace(plain, "^\\s+|\\s+$", ""), "\\s+", -1)
+def _masked(line: Column) -> Column:
+    """A line without outer spaces, its tokens with a digit generalised. Tokens are what single spaces separate."""
+    return F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line))
 
 
-def _leaf(tokens: Column) -> Column:
+def _leaf(masked: Column) -> Column:
     """Leaf of the tree: number of tokens and leading tokens; null for lines that are too short."""
-    return F.when(F.size(tokens) >= MIN_TOKENS, F.xxhash64(F.size(tokens), *(F.get(tokens, F.lit(i)) for i in range(LEADING))))
+    size = F.size(F.split(masked, " ", -1))
+    return F.when(size >= MIN_TOKENS, F.xxhash64(size, F.substring_index(masked, " ", LEADING)))
 
 
 def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _key, _drop: positions of the lines to drop, for documents that have any."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    lines = rows.select("_id", "_key", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
-    parsed = lines.select("_id", "_key", "_pos", _tokens(F.col("_line")).alias("_tokens")).withColumn("_leaf", _leaf(F.col("_tokens"))).filter("_leaf is not null")
-
-    reached = rows.select(F.explode(F.array_distinct(F.transform(F.split("_text", "\n", -1), lambda x: _leaf(_tokens(x))))).alias("_leaf"))
-    leaves = materialise(reached.filter("_leaf is not null").groupBy("_leaf").count().filter(F.col("count") >= MIN_DOCS).select("_leaf"), "leaves")
-    kept = parsed.join(leaves, "_leaf", "left_semi").select("_id", "_key", "_pos", "_leaf", F.array_join("_tokens", " ").alias("_line"))
-    kept = materialise(kept, "lines")
-
-    # Distinct lines of the leaves, with the number of documents that have them.
-    once = kept.select("_leaf", "_line", "_id", "_key").distinct()
-    members = materialise(once.groupBy("_leaf", "_line").agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_id", "_key")).alias("_first")), "members")
-    placed = members.select("_leaf", "_docs", F.posexplode(F.split("_line", " ", -1)).alias("_at", "_token"))
-    constant = placed.groupBy("_leaf", "_at", "_token").agg(F.sum("_docs").alias("_n")).filter(F.col("_n") >= MIN_DOCS)
-    # A line's constants, told by how many of its tokens hold; a line needs all but its free wildcards.
-    held = (
-        members.select("_leaf", "_line", F.posexplode(F.split("_line", " ", -1)).alias("_at", "_token"))
-        .join(constant.select("_leaf", "_at", "_token"), ["_leaf", "_at", "_token"])
-        .groupBy("_leaf", "_line")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "_token"))).alias("_template"))
-    )
+    masked = F.transform(F.split("_text", "\n", -1), _masked)
+
+    reached = rows.select(F.explode(F.array_distinct(F.transform(masked, _leaf))).alias("_leaf")).filter("_leaf is not null")
+    leaves = materialise(reached.groupBy("_leaf").count().filter(F.col("count") >= MIN_DOCS).select("_leaf"), "leaves")
+
+    lines = rows.select("_id", "_key", F.posexplode(masked).alias("_pos", "_line")).withColumn("_leaf", _leaf(F.col("_line")))
+    kept = lines.join(leaves, "_leaf", "left_semi").withColumn("_hash", F.xxhash64(F.lit(10), F.col("_line")))
+    kept = materialise(kept.select("_id", "_key", "_pos", "_leaf", "_hash", "_line"), "lines")
+
+    # Distinct lines of the leaves (by leaf and hash), with the number of documents that have them.
+    once = kept.select("_leaf", "_hash", "_id", "_key").distinct()
+    members = once.groupBy("_leaf", "_hash").agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_id", "_key")).alias("_first"))
+    members = materialise(members, "members")
+
+    # Lines long enough for a free wildcard: which of their tokens recur at their place in the leaf.
     size = F.size(F.split("_line", " ", -1))
-    free = F.floor((size - LEADING) / FREE)
-    held = held.filter(size - F.size("_template") <= free).select("_leaf", "_line", F.xxhash64(size, "_template").alias("_template"))
-    of_line = materialise(members.join(held, ["_leaf", "_line"]).select("_leaf", "_line", "_template", "_docs", "_first"), "of_line")
+    long_lines = kept.filter(size >= LEADING + FREE).select("_leaf", "_hash", "_line").dropDuplicates(["_leaf", "_hash"])
+    tokens = F.transform(F.split("_line", " ", -1), lambda t: F.xxhash64(t))
+    placed = long_lines.join(members, ["_leaf", "_hash"]).select("_leaf", "_hash", "_docs", size.alias("_size"), F.posexplode(tokens).alias("_at", "_token"))
+    placed = materialise(placed, "placed")
+    constant = placed.groupBy("_leaf", "_at", "_token").agg(F.sum("_docs").alias("_n")).filter(F.col("_n") >= MIN_DOCS).select("_leaf", "_at", "_token")
+    held = placed.join(constant, ["_leaf", "_at", "_token"]).groupBy("_leaf", "_hash", "_size").agg(F.array_sort(F.collect_list(F.struct("_at", "_token"))).alias("_held"))
+    free = F.floor((F.col("_size") - LEADING) / FREE)
+    general = held.filter(F.col("_size") - F.size("_held") <= free).select("_leaf", "_hash", F.xxhash64("_size", "_held").alias("_general"))
+
+    # Every other line is its own template. Templates are counted, and the first document of each is found.
+    of_line = members.join(general, ["_leaf", "_hash"], "left").select("_leaf", "_hash", "_docs", "_first", F.coalesce("_general", "_hash").alias("_template"))
+    of_line = materialise(of_line, "templates")
     recurring = of_line.groupBy("_leaf", "_template").agg(F.sum("_docs").alias("_n"), F.min("_first").alias("_keep")).filter(F.col("_n") >= MIN_DOCS)
-    drop = of_line.join(recurring, ["_leaf", "_template"]).select("_leaf", "_line", "_keep")
-    gone = kept.join(drop, ["_leaf", "_line"]).filter(~F.struct("_id", "_key").eqNullSafe(F.col("_keep")))
+    drop = of_line.join(recurring, ["_leaf", "_template"]).select("_leaf", "_hash", "_keep")
+    gone = kept.select("_id", "_key", "_pos", "_leaf", "_hash").join(drop, ["_leaf", "_hash"]).filter(~F.struct("_id", "_key").eqNullSafe(F.col("_keep")))
     return materialise(gone.groupBy("_id", "_key").agg(F.collect_set("_pos").alias("_drop")), "drops")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
-    """docs with recurring lines taken out of text_col; with report also n_lines and n_dropped."""
+    """docs with recurring lines taken out of text_col; with report also n_lines and n_dropped.
+
+    The rows travel as one struct, so no column of docs meets one of the operator's own.
+    """
     drops = line_drops(docs, id_col, text_col)
-    key = docs[id_col].cast("long").eqNullSafe(drops["_id"]) & (F.xxhash64(docs[text_col]) == drops["_key"])
-    joined = docs.join(drops, key, "left")
-    lines = F.split(docs[text_col], "\n", -1)
-    clean = F.when(F.col("_drop").isNull(), docs[text_col]).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
-    extra = [F.when(docs[text_col].isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped")]
-    return joined.select(*(clean.alias(c) if c == text_col else docs[c] for c in docs.columns), *(extra if report else []))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_hash"))
+    joined = rows.join(drops, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
+    text = F.col("_row")[text_col]
+    lines = F.split(text, "\n", -1)
+    clean = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    n_dropped = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped")
+    kept = [clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if not (report and c in ("n_lines", "n_dropped"))]
+    return joined.select(*kept, *([n_lines, n_dropped] if report else []))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
