@@ -50,11 +50,8 @@ class Journal:
     def write(self, stage: str, lanes: Lanes | DataFrame, order=None) -> DataFrame:
         """Write a stage's rows with their place _pos (from 1), and its error rows; returns the rows as read back."""
         data, errors = (lanes.data, lanes.errors) if isinstance(lanes, Lanes) else (lanes, None)
-        data = marked(data)
-        if order is not None:
-            data = number_rows(data, order, "_pos")
-        elif "_pos" not in data.columns:
-            data = data.withColumn("_pos", F.monotonically_increasing_id())
+        data = marked(data).drop("_pos")
+        data = data.withColumn("_pos", F.monotonically_increasing_id()) if order is None else number_rows(data, order, "_pos")
         data.write.mode("errorifexists").parquet(self._stage(stage))
         if errors is not None:
             errors.write.mode("errorifexists").parquet(self._stage(stage, errors=True))
