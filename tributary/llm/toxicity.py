@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLE, SAMPLE_CHARS, VOCABULARY = 2000, 20_000, 4000
+SAMPLE, SPARE, SAMPLE_CHARS, VOCABULARY = 2000, 2, 20_000, 4000
 GRADES, PREFIX, MIN_DOCS, MIN_ODDS, MIN_G = 3, 5, 5, 2.0, 20.0
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -158,11 +158,14 @@ def _best_bar(severity: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
     """Fit on the bounded sample of labelled documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("_label_id"), F.col("toxic").cast("int").alias("_toxic")).filter("_toxic in (0, 1)").dropDuplicates(["_label_id"])
+    known = known.withColumn("_hash", F.xxhash64("_label_id"))
+    # Candidates are taken from the labels alone, with some to spare for missing and overlong documents: a bounded
+    # table to broadcast, so no text moves but the sample's.
+    drawn = [known.filter(F.col("_toxic") == c).orderBy("_hash").limit(SPARE * SAMPLE) for c in (0, 1)]
     found = (
         docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
         .filter(F.char_length("_text") <= SAMPLE_CHARS)
-        .join(known, F.col("_id") == F.col("_label_id"))
-        .withColumn("_hash", F.xxhash64("_id"))
+        .join(F.broadcast(drawn[0].unionByName(drawn[1])), F.col("_id") == F.col("_label_id"))
     )
     parts = [found.filter(F.col("_toxic") == c).orderBy("_hash", "_text").limit(SAMPLE) for c in (0, 1)]
     sample = parts[0].unionByName(parts[1]).select("_text", "_toxic").collect()  # at most 2 * SAMPLE * SAMPLE_CHARS characters
