@@ -74,7 +74,8 @@ def stateful(
         yield pd.DataFrame(out, columns=columns)
 
     full = f"_rows long, _opened double, {state_schema}"
-    timeout = GroupStateTimeout.ProcessingTimeTimeout
+    # With a timeout, a query that runs what is available never finds itself done: only where it is asked for.
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout
     return stream.groupBy(*keys).applyInPandasWithState(run, output_schema, full, "append", timeout)
 
 
