@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,8 @@ def lower_ascii(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words as a long; 0 for null."""
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: a lambda's outer expressions are otherwise evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
