@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import let, materialise, table
 
 MIN_DOCS, MIN_TOKENS, LEADING, FREE = 4, 3, 3, 6
 WILD = "<*>"
@@ -89,7 +89,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = rows.join(drops, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
     text = F.col("_row")[text_col]
     lines = F.split(text, "\n", -1)
-    clean = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
+
+    def kept_lines(parts: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_drop")
+        return F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
+
+    clean = F.when(F.col("_drop").isNull(), text).otherwise(let(lines, kept_lines))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
     n_dropped = F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped")
     kept = [clean.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if not (report and c in ("n_lines", "n_dropped"))]
