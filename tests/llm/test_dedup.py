@@ -128,3 +128,20 @@ def test_lines_that_do_not_recur_stay(spark, documents):
 def test_repeated_rows_count_once(spark, documents):
     docs = documents(*[(1, "one line of four\nx")] * 5, (2, "other things"))
     assert [r["n_dropped"] for r in lines.dedup_lines(docs, report=True).collect()] == [0] * 6
+
+
+def test_long_lines_recur_with_two_documents(spark, documents):
+    line = "a passage of nine or more words that two documents share"
+    very = " ".join(f"w{chr(97 + i % 26)}" for i in range(60))
+    rows = [(1, f"{line}\n{very} 17"), (2, f"opening\n{line}"), (3, f"{very} 18\nclosing"), (4, "eight words that two of the documents share"), (5, "eight words that two of the documents share"), (6, line + " 1"), (7, line + " 2")]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(*rows)).collect()}
+    assert out == dict(rows) | {2: "opening", 3: "closing"}
+    twice = documents((1, line), (1, line), (2, "other"))
+    assert [r["n_dropped"] for r in lines.dedup_lines(twice, report=True).collect()] == [0] * 3
+
+
+def test_a_document_counts_once_in_a_template(spark, documents):
+    names = ["anna", "bert", "carl", "dora"]
+    line = "thank you for reading dear {} and do come back to us again soon"
+    rows = [(1, "\n".join(line.format(n) for n in names[:2])), (2, "\n".join(line.format(n) for n in names[2:]))]
+    assert [r["n_dropped"] for r in lines.dedup_lines(documents(*rows), report=True).collect()] == [0, 0]

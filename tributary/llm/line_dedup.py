@@ -3,19 +3,23 @@
 A line is a path in a fixed-depth tree: its number of tokens, then its leading tokens. Variable fields are
 generalised in two steps: a token with a digit is a wildcard from the start, and within a leaf a token
 that fewer than MIN_DOCS documents have at its position is a wildcard too. What is left of a line is its
-template. A template is recurring when MIN_DOCS documents have it; lines may have
+template. A template is recurring when MIN_DOCS distinct documents have it; lines may have
 one wildcard of the second kind for every FREE tokens beyond the leading ones, so that lines which
 merely begin alike stay apart (short lines must recur as they are). Lines of a recurring template are dropped from every
 document but the first (smallest doc_id), which keeps the passage once.
 
-How it scales. Pass one explodes lines to hashes (a leaf and a document key, no text) and counts leaves by
-map-side partial sums. Only leaves that MIN_DOCS documents reach go on: their lines, few in most corpora, are the only
-text that is exploded to tokens. The join that selects them is broadcast when the list of leaves is small and
+Long lines recur without a template. A line of LONG_TOKENS or more that two documents have letter by letter
+is no chance, and from VERY_LONG_TOKENS on tokens with a digit may differ as well: it stays in the first document
+only.
+
+How it scales. Pass one explodes lines to hashes (their leaves, and long lines whole; no text) and counts them by
+map-side partial sums. Whole lines of two documents go on as hashes and positions. Only leaves that MIN_DOCS documents
+reach go on with text: their lines, few in most corpora, are the only text that is exploded to tokens. The join that selects them is broadcast when the list of leaves is small and
 a shuffle otherwise, and Spark splits its hot leaves. Documents of a template are counted over lines that were
 first made unique within each document. Lines dropped are returned as positions to their document.
 
 Defined results. Lines end at U+000A. A null text stays null, an empty one empty, with 0 lines dropped.
-Tokens are what single spaces separate; lines of fewer than MIN_TOKENS are never dropped. A line that repeats only inside one document is
+Tokens are what single spaces separate. Lines of fewer than MIN_TOKENS are never dropped. A line that repeats only inside one document is
 no recurrence. A document is a (doc_id, text) pair: rows that repeat both count once and are treated
 alike. A document all of whose lines are dropped stays, with the empty text. An empty table gives an empty result.
 """
@@ -28,39 +32,72 @@ from pyspark.sql import functions as F
 from .common import let, materialise, table
 
 MIN_DOCS, MIN_TOKENS, LEADING, FREE = 4, 3, 3, 6
+#: Tokens from which a line recurs with two documents: letter by letter, and with its numbers masked.
+LONG_TOKENS, VERY_LONG_TOKENS = 9, 50
+#: Lowest two bits of a key: what it stands for.
+_LEAF, _WHOLE = 0, 2
 WILD = "<*>"
 
 
+def _size(line: Column) -> Column:
+    return F.size(F.split(line, " ", -1))
+
+
 def _masked(line: Column) -> Column:
     """A line without outer spaces, its tokens with a digit generalised. Tokens are what single spaces separate."""
-    return F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", WILD)).otherwise(line))
+    trimmed = F.trim(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(trimmed, "[^ ]*[0-9][^ ]*", WILD)).otherwise(trimmed)
+
+
+def _key(kind: int, *of: Column) -> Column:
+    return F.xxhash64(*of).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(kind).cast("long"))
 
 
 def _leaf(masked: Column) -> Column:
     """Leaf of the tree: number of tokens and leading tokens; null for lines that are too short."""
-    size = F.size(F.split(masked, " ", -1))
-    return F.when(size >= MIN_TOKENS, F.xxhash64(size, F.substring_index(masked, " ", LEADING)))
+    size = _size(masked)
+    return F.when(size >= MIN_TOKENS, _key(_LEAF, size, F.substring_index(masked, " ", LEADING)))
+
+
+def _whole(line: Column) -> Column:
+    """Key of a long line as it is, or of a very long one with its numbers masked; null for other lines."""
+    # The first test spares short lines the count: n tokens have n - 1 spaces.
+    kind = F.lit("whole")
+    return F.when(F.octet_length(line) < LONG_TOKENS - 1, None).otherwise(
+        let(F.trim(line), lambda t: let(_size(t), lambda n: F.when(n >= VERY_LONG_TOKENS, _key(_WHOLE, kind, _masked(t))).when(n >= LONG_TOKENS, _key(_WHOLE, kind, t))))
+    )
 
 
 def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _key, _drop: positions of the lines to drop, for documents that have any."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    masked = F.transform(F.split("_text", "\n", -1), _masked)
-
-    reached = rows.select(F.explode(F.array_distinct(F.transform(masked, _leaf))).alias("_leaf")).filter("_leaf is not null")
-    leaves = materialise(reached.groupBy("_leaf").count().filter(F.col("count") >= MIN_DOCS).select("_leaf"), "leaves")
+    parts = F.split("_text", "\n", -1)
+    masked = F.transform(parts, _masked)
+
+    keys = let(parts, lambda p: F.array_distinct(F.concat(F.transform(F.transform(p, _masked), _leaf), F.transform(p, _whole))))
+    reached = rows.select(F.explode(keys).alias("_leaf")).filter("_leaf is not null").groupBy("_leaf").count()
+    kind = F.col("_leaf").bitwiseAND(F.lit(3))
+    least = F.when(kind == _LEAF, MIN_DOCS).otherwise(2)
+    reached = materialise(reached.filter(F.col("count") >= least).select("_leaf"), "leaves")
+    leaves, wholes = reached.filter(kind != _WHOLE), reached.filter(kind == _WHOLE)
+
+    # Long lines of two documents: all but the first go, and where there is one document only it is the first.
+    same = rows.select("_id", "_key", F.posexplode(F.transform(parts, _whole)).alias("_pos", "_leaf")).filter("_leaf is not null")
+    same = materialise(same.join(wholes, "_leaf", "left_semi").select("_id", "_key", "_pos", "_leaf"), "same")
+    first = same.groupBy("_leaf").agg(F.min(F.struct("_id", "_key")).alias("_keep"))
+    again = same.join(first, "_leaf").filter(~F.struct("_id", "_key").eqNullSafe(F.col("_keep"))).select("_id", "_key", "_pos")
 
     lines = rows.select("_id", "_key", F.posexplode(masked).alias("_pos", "_line")).withColumn("_leaf", _leaf(F.col("_line")))
     kept = lines.join(leaves, "_leaf", "left_semi").withColumn("_hash", F.xxhash64(F.lit(10), F.col("_line")))
     kept = materialise(kept.select("_id", "_key", "_pos", "_leaf", "_hash", "_line"), "lines")
 
     # Distinct lines of the leaves (by leaf and hash), with the number of documents that have them.
-    once = kept.select("_leaf", "_hash", "_id", "_key").distinct()
+    once = materialise(kept.select("_leaf", "_hash", "_id", "_key").distinct(), "once")
     members = once.groupBy("_leaf", "_hash").agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_id", "_key")).alias("_first"))
     members = materialise(members, "members")
 
     # Lines long enough for a free wildcard: which of their tokens recur at their place in the leaf.
-    size = F.size(F.split("_line", " ", -1))
+    size = _size(F.col("_line"))
     long_lines = kept.filter(size >= LEADING + FREE).select("_leaf", "_hash", "_line").dropDuplicates(["_leaf", "_hash"])
     tokens = F.transform(F.split("_line", " ", -1), lambda t: F.xxhash64(t))
     placed = long_lines.join(members, ["_leaf", "_hash"]).select("_leaf", "_hash", "_docs", size.alias("_size"), F.posexplode(tokens).alias("_at", "_token"))
@@ -70,12 +107,21 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     free = F.floor((F.col("_size") - LEADING) / FREE)
     general = held.filter(F.col("_size") - F.size("_held") <= free).select("_leaf", "_hash", F.xxhash64("_size", "_held").alias("_general"))
 
-    # Every other line is its own template. Templates are counted, and the first document of each is found.
+    # Every other line is its own template. Documents of a template are counted: a line's are known, and where several
+    # lines share a template, a document that has two of them counts once. The first document of each is found.
     of_line = members.join(general, ["_leaf", "_hash"], "left").select("_leaf", "_hash", "_docs", "_first", F.coalesce("_general", "_hash").alias("_template"))
     of_line = materialise(of_line, "templates")
-    recurring = of_line.groupBy("_leaf", "_template").agg(F.sum("_docs").alias("_n"), F.min("_first").alias("_keep")).filter(F.col("_n") >= MIN_DOCS)
+    sums = of_line.groupBy("_leaf", "_template").agg(F.sum("_docs").alias("_n"), F.max("_docs").alias("_most"), F.min("_first").alias("_keep"))
+    sums = materialise(sums.filter(F.col("_n") >= MIN_DOCS), "sums")
+    sure, unsure = sums.filter(F.col("_most") >= MIN_DOCS), sums.filter(F.col("_most") < MIN_DOCS)
+    # An unsure template's lines have fewer than MIN_DOCS documents each.
+    shared = of_line.join(unsure.select("_leaf", "_template"), ["_leaf", "_template"]).select("_leaf", "_hash", "_template")
+    counted = once.join(shared, ["_leaf", "_hash"]).select("_leaf", "_template", "_id", "_key").distinct().groupBy("_leaf", "_template").count()
+    proved = unsure.join(counted.filter(F.col("count") >= MIN_DOCS), ["_leaf", "_template"])
+    recurring = sure.select("_leaf", "_template", "_keep").union(proved.select("_leaf", "_template", "_keep"))
     drop = of_line.join(recurring, ["_leaf", "_template"]).select("_leaf", "_hash", "_keep")
     gone = kept.select("_id", "_key", "_pos", "_leaf", "_hash").join(drop, ["_leaf", "_hash"]).filter(~F.struct("_id", "_key").eqNullSafe(F.col("_keep")))
+    gone = gone.select("_id", "_key", "_pos").union(again)
     return materialise(gone.groupBy("_id", "_key").agg(F.collect_set("_pos").alias("_drop")), "drops")
 
 
