@@ -140,6 +140,12 @@ def test_long_lines_recur_with_two_documents(spark, documents):
     assert [r["n_dropped"] for r in lines.dedup_lines(twice, report=True).collect()] == [0] * 3
 
 
+def test_short_lines_recur_as_they_are(spark, documents):
+    rows = [(i, f"Les.\n\nAnd ornd.\n{i}\nbody {chr(97 + i)}") for i in range(lines.SHORT_DOCS)]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(*rows)).collect()}
+    assert out == {i: t if i == 0 else f"\n{i}\nbody {chr(97 + i)}" for i, t in rows}
+
+
 def test_a_document_counts_once_in_a_template(spark, documents):
     names = ["anna", "bert", "carl", "dora"]
     line = "thank you for reading dear {} and do come back to us again soon"

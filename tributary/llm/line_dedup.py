@@ -8,9 +8,9 @@ one wildcard of the second kind for every FREE tokens beyond the leading ones, s
 merely begin alike stay apart (short lines must recur as they are). Lines of a recurring template are dropped from every
 document but the first (smallest doc_id), which keeps the passage once.
 
-Long lines recur without a template. A line of LONG_TOKENS or more that two documents have letter by letter
+Two kinds of lines recur without a template. A line of LONG_TOKENS or more that two documents have letter by letter
 is no chance, and from VERY_LONG_TOKENS on tokens with a digit may differ as well: it stays in the first document
-only.
+only. A line of fewer than MIN_TOKENS is its own leaf, without wildcards, and recurs when SHORT_DOCS documents have it.
 
 How it scales. Pass one explodes lines to hashes (their leaves, and long lines whole; no text) and counts them by
 map-side partial sums. Whole lines of two documents go on as hashes and positions. Only leaves that MIN_DOCS documents
@@ -19,7 +19,7 @@ a shuffle otherwise, and Spark splits its hot leaves. Documents of a template ar
 first made unique within each document. Lines dropped are returned as positions to their document.
 
 Defined results. Lines end at U+000A. A null text stays null, an empty one empty, with 0 lines dropped.
-Tokens are what single spaces separate. Lines of fewer than MIN_TOKENS are never dropped. A line that repeats only inside one document is
+Tokens are what single spaces separate. Lines without a token, which part paragraphs, are never dropped. A line that repeats only inside one document is
 no recurrence. A document is a (doc_id, text) pair: rows that repeat both count once and are treated
 alike. A document all of whose lines are dropped stays, with the empty text. An empty table gives an empty result.
 """
@@ -34,8 +34,10 @@ from .common import let, materialise, table
 MIN_DOCS, MIN_TOKENS, LEADING, FREE = 4, 3, 3, 6
 #: Tokens from which a line recurs with two documents: letter by letter, and with its numbers masked.
 LONG_TOKENS, VERY_LONG_TOKENS = 9, 50
+#: Documents that must have a line of fewer than MIN_TOKENS.
+SHORT_DOCS = 5
 #: Lowest two bits of a key: what it stands for.
-_LEAF, _WHOLE = 0, 2
+_LEAF, _SHORT, _WHOLE = 0, 1, 2
 WILD = "<*>"
 
 
@@ -44,9 +46,9 @@ def _size(line: Column) -> Column:
 
 
 def _masked(line: Column) -> Column:
-    """A line without outer spaces, its tokens with a digit generalised. Tokens are what single spaces separate."""
+    """A line without outer spaces, its tokens with a digit generalised unless it is short. Tokens are what single spaces separate."""
     trimmed = F.trim(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(trimmed, "[^ ]*[0-9][^ ]*", WILD)).otherwise(trimmed)
+    return F.when(line.rlike("[0-9]") & trimmed.rlike(" [^ ]* "), F.regexp_replace(trimmed, "[^ ]*[0-9][^ ]*", WILD)).otherwise(trimmed)
 
 
 def _key(kind: int, *of: Column) -> Column:
@@ -54,9 +56,9 @@ def _key(kind: int, *of: Column) -> Column:
 
 
 def _leaf(masked: Column) -> Column:
-    """Leaf of the tree: number of tokens and leading tokens; null for lines that are too short."""
+    """Leaf of the tree: number of tokens and leading tokens, all of them in a short line; null for lines without a token."""
     size = _size(masked)
-    return F.when(size >= MIN_TOKENS, _key(_LEAF, size, F.substring_index(masked, " ", LEADING)))
+    return F.when(size >= MIN_TOKENS, _key(_LEAF, size, F.substring_index(masked, " ", LEADING))).when(masked != "", _key(_SHORT, size, masked))
 
 
 def _whole(line: Column) -> Column:
@@ -77,7 +79,7 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = let(parts, lambda p: F.array_distinct(F.concat(F.transform(F.transform(p, _masked), _leaf), F.transform(p, _whole))))
     reached = rows.select(F.explode(keys).alias("_leaf")).filter("_leaf is not null").groupBy("_leaf").count()
     kind = F.col("_leaf").bitwiseAND(F.lit(3))
-    least = F.when(kind == _LEAF, MIN_DOCS).otherwise(2)
+    least = F.when(kind == _LEAF, MIN_DOCS).when(kind == _SHORT, SHORT_DOCS).otherwise(2)
     reached = materialise(reached.filter(F.col("count") >= least).select("_leaf"), "leaves")
     leaves, wholes = reached.filter(kind != _WHOLE), reached.filter(kind == _WHOLE)
 
@@ -112,8 +114,9 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of_line = members.join(general, ["_leaf", "_hash"], "left").select("_leaf", "_hash", "_docs", "_first", F.coalesce("_general", "_hash").alias("_template"))
     of_line = materialise(of_line, "templates")
     sums = of_line.groupBy("_leaf", "_template").agg(F.sum("_docs").alias("_n"), F.max("_docs").alias("_most"), F.min("_first").alias("_keep"))
-    sums = materialise(sums.filter(F.col("_n") >= MIN_DOCS), "sums")
-    sure, unsure = sums.filter(F.col("_most") >= MIN_DOCS), sums.filter(F.col("_most") < MIN_DOCS)
+    enough = F.when(kind == _SHORT, SHORT_DOCS).otherwise(MIN_DOCS)
+    sums = materialise(sums.filter(F.col("_n") >= enough), "sums")
+    sure, unsure = sums.filter(F.col("_most") >= enough), sums.filter(F.col("_most") < enough)
     # An unsure template's lines have fewer than MIN_DOCS documents each.
     shared = of_line.join(unsure.select("_leaf", "_template"), ["_leaf", "_template"]).select("_leaf", "_hash", "_template")
     counted = once.join(shared, ["_leaf", "_hash"]).select("_leaf", "_template", "_id", "_key").distinct().groupBy("_leaf", "_template").count()
