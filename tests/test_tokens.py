@@ -1,11 +1,16 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.functions.hashing import canonical_json, canonical_json_column, fingerprint, stable_hash64, stable_hash64_column
 from tributary.operators import tokens
+from tributary.queries import QUERIES
 from tributary.sources.functional import finite
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_estimates(spark):
     df = spark.createDataFrame([("",), ("abcd",), ("abcde",), ("éé",)], "t string")
@@ -89,3 +94,24 @@ def test_hashes(spark):
     assert spark.createDataFrame([('{"b":1, "a":2}',), ("x",)], "j string").select(canonical_json_column("j")).collect()[0][0] == '{"a":2,"b":1}'
     row = spark.createDataFrame([(1, "x")], "b int, a string").select(fingerprint("b", "a").alias("f"), fingerprint("a", "b").alias("g")).first()
     assert row["f"] == row["g"]
+
+
+def test_pieces_lose_nothing(spark):
+    for text in ("", "abc", "é" * 9, "a€" * 50, "\U0001f600" * 7, "x" * 16):
+        cut = tokens.pieces(text, 2)
+        assert "".join(cut) == text and all(tokens.HeuristicEstimator().of(p) <= 2 for p in cut)
+    df = spark.createDataFrame([("s", 2, "b" * 20), ("s", 1, "a€" * 9), ("s", 3, None)], "k string, n int, t string")
+    out = tokens.chunk_by_budget(tokens.split_items(df, "n", "t", 2), ["k"], "n", "t", lambda x, d: x, 2)
+    assert "".join("".join(r["rendered_items"]) for r in out.orderBy("chunk_index").collect()) == "a€" * 9 + "b" * 20
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_queries_chunk_whole_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").groupBy("source").agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.char_length("text")).alias("chars")).collect()
+    chunks = {r["source"]: r for r in QUERIES["ai05_chunk_by_budget"](spark, DATA).groupBy("source").agg(F.sum("estimated_tokens").alias("tokens"), F.sum("items").alias("items"), F.count("*").alias("n")).collect()}
+    results = {r["source"]: r["result"] for r in QUERIES["ai07_map_reduce"](spark, DATA).collect()}
+    for r in docs:
+        c = chunks[r["source"]]
+        assert 4 * c["tokens"] >= r["bytes"]
+        # Prompts join a chunk's items by line ends.
+        assert r["chars"] <= int(results[r["source"]]) < r["chars"] + c["items"]

@@ -175,6 +175,33 @@ def plan_chunks(items: Sequence[object], render: Callable[[object, int], str], b
     return chunks, excluded
 
 
+def pieces(text: str | None, budget: int, bytes_per_token: float = 4.0) -> list[str]:
+    """text cut into pieces of at most budget tokens by the heuristic, between characters; joined they are the text. Null has none."""
+    limit = math.floor(budget * bytes_per_token)
+    if limit < 4:
+        raise ValueError("a piece must hold any one character")
+    data, at, out = (text or "").encode(), 0, []
+    while len(data) - at > limit:
+        end = at + limit
+        while data[end] & 0xC0 == 0x80:  # inside a character
+            end -= 1
+        out.append(data[at:end].decode())
+        at = end
+    return [] if text is None else [*out, data[at:].decode()]
+
+
+def split_items(df: DataFrame, order: str, item: str, budget: int, bytes_per_token: float = 4.0) -> DataFrame:
+    """df with a row for each piece of item; order becomes a struct of itself and the piece's number."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda text: pieces(text, budget, bytes_per_token))
+
+    rest = [c for c in df.columns if c not in (order, item)]
+    parts = df.select(*rest, F.col(order).alias("_order"), F.posexplode(cut(item)).alias("_piece", item))
+    return parts.select(*rest, F.struct(F.col("_order").alias(order), F.col("_piece").alias("piece")).alias(order), item)
+
+
 CHUNK = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("chunk_index", "chunk_count", "estimated_tokens", "depth")] + [T.StructField("item_ordinals", T.ArrayType(T.LongType())), T.StructField("rendered_items", T.ArrayType(T.StringType())), T.StructField("excluded", T.StringType())]
 )
