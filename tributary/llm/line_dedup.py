@@ -1,27 +1,28 @@
 """Line deduplication with a log-template tree (DataFrame functions only).
 
-A line is a path in a fixed-depth tree: its number of tokens, then its leading tokens. Variable fields are
+A line is a path in a fixed-depth tree: its number of tokens, then its LEADING tokens. Variable fields are
 generalised in two steps: a token with a digit is a wildcard from the start, and within a leaf a token
 that fewer than MIN_DOCS documents have at its position is a wildcard too. What is left of a line is its
-template. A template is recurring when MIN_DOCS distinct documents have it; lines may have
-one wildcard of the second kind for every FREE tokens beyond the leading ones, so that lines which
-merely begin alike stay apart (short lines must recur as they are). Lines of a recurring template are dropped from every
-document but the first (smallest doc_id), which keeps the passage once.
+template. One rule holds for lines of every length: at least CONSTANT of a template's tokens are constant, so a line of n
+tokens has at most floor(n * (1 - CONSTANT)) wildcards of both kinds together. A line that would need more is its own template if
+its digits leave it enough constants, and has no template otherwise: rows of numbers are never taken for each other.
+A template is recurring when MIN_DOCS distinct documents have it (SHORT_DOCS for fewer than MIN_TOKENS tokens). Lines of a
+recurring template are dropped from every document but the first (smallest doc_id), which keeps the passage once.
 
-Two kinds of lines recur without a template. A line of LONG_TOKENS or more that two documents have letter by letter
-is no chance, and from VERY_LONG_TOKENS on tokens with a digit may differ as well: it stays in the first document
-only. A line of fewer than MIN_TOKENS is its own leaf, without wildcards, and recurs when SHORT_DOCS documents have it.
+Long lines recur without a template. A line of LONG_TOKENS or more that two documents have letter by letter
+is no chance, and from VERY_LONG_TOKENS on its numbers may differ as well (within the rule above): it stays in the first document
+only.
 
 How it scales. Pass one explodes lines to hashes (their leaves, and long lines whole; no text) and counts them by
-map-side partial sums. Whole lines of two documents go on as hashes and positions. Only leaves that MIN_DOCS documents
-reach go on with text: their lines, few in most corpora, are the only text that is exploded to tokens. The join that selects them is broadcast when the list of leaves is small and
-a shuffle otherwise, and Spark splits its hot leaves. Documents of a template are counted over lines that were
+map-side partial sums. Pass two keeps the lines whose leaf or whole several documents reach, few in most corpora; text
+goes on only for lines that may have wildcards. The join that selects them is broadcast when the list is small and
+a shuffle otherwise, and Spark splits its hot keys. Documents of a template are counted over lines that were
 first made unique within each document. Lines dropped are returned as positions to their document.
 
 Defined results. Lines end at U+000A. A null text stays null, an empty one empty, with 0 lines dropped.
-Tokens are what single spaces separate. Lines without a token, which part paragraphs, are never dropped. A line that repeats only inside one document is
-no recurrence. A document is a (doc_id, text) pair: rows that repeat both count once and are treated
-alike. A document all of whose lines are dropped stays, with the empty text. An empty table gives an empty result.
+Tokens are what single spaces separate, outer spaces aside. Lines without a token, which part paragraphs, are never dropped. A line
+that repeats only inside one document is no recurrence. A document is a (doc_id, text) pair: rows that repeat both count once and are treated
+alike. Texts of any length are read whole. A document all of whose lines are dropped stays, with the empty text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import let, materialise, table
 
-MIN_DOCS, MIN_TOKENS, LEADING, FREE = 4, 3, 3, 6
+MIN_DOCS, MIN_TOKENS, LEADING = 4, 3, 3
+#: Share of a template's tokens that are constant, at least (a fraction, so that bounds are whole numbers).
+CONSTANT = (6, 7)
 #: Tokens from which a line recurs with two documents: letter by letter, and with its numbers masked.
 LONG_TOKENS, VERY_LONG_TOKENS = 9, 50
 #: Documents that must have a line of fewer than MIN_TOKENS.
@@ -41,80 +44,79 @@ _LEAF, _SHORT, _WHOLE = 0, 1, 2
 WILD = "<*>"
 
 
-def _size(line: Column) -> Column:
-    return F.size(F.split(line, " ", -1))
-
-
-def _masked(line: Column) -> Column:
-    """A line without outer spaces, its tokens with a digit generalised unless it is short. Tokens are what single spaces separate."""
-    trimmed = F.trim(line)
-    return F.when(line.rlike("[0-9]") & trimmed.rlike(" [^ ]* "), F.regexp_replace(trimmed, "[^ ]*[0-9][^ ]*", WILD)).otherwise(trimmed)
-
-
 def _key(kind: int, *of: Column) -> Column:
     return F.xxhash64(*of).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(kind).cast("long"))
 
 
-def _leaf(masked: Column) -> Column:
-    """Leaf of the tree: number of tokens and leading tokens, all of them in a short line; null for lines without a token."""
-    size = _size(masked)
-    return F.when(size >= MIN_TOKENS, _key(_LEAF, size, F.substring_index(masked, " ", LEADING))).when(masked != "", _key(_SHORT, size, masked))
+def _without(text: Column, part: str) -> Column:
+    return F.octet_length(F.replace(text, F.lit(part), F.lit("")))
 
 
-def _whole(line: Column) -> Column:
-    """Key of a long line as it is, or of a very long one with its numbers masked; null for other lines."""
-    # The first test spares short lines the count: n tokens have n - 1 spaces.
+def _free(size: Column) -> Column:
+    """Wildcards that a line of this many tokens may have."""
+    return F.floor(size * (CONSTANT[1] - CONSTANT[0]) / CONSTANT[1]).cast("int")
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """_id, _key, _pos, _line (masked), _size, _wild, _leaf, _whole of every line with a token, in plain columns (one generated stage)."""
+    lines = rows.select("_id", "_key", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_raw"))
+    lines = lines.withColumn("_raw", F.trim("_raw")).filter("_raw <> ''")
+    lines = lines.withColumn("_size", F.octet_length("_raw") - _without(F.col("_raw"), " ") + 1)
+    lines = lines.withColumn("_line", F.when(F.col("_raw").rlike("[0-9]"), F.regexp_replace("_raw", "[^ ]*[0-9][^ ]*", WILD)).otherwise(F.col("_raw")))
+    lines = lines.withColumn("_wild", F.floor((F.octet_length("_line") - _without(F.col("_line"), WILD)) / len(WILD)).cast("int"))
+    size, line = F.col("_size"), F.col("_line")
+    sound = F.col("_wild") <= _free(size)
+    tree = F.when(size < MIN_TOKENS, _key(_SHORT, size, line)).otherwise(_key(_LEAF, size, F.substring_index(line, " ", LEADING)))
     kind = F.lit("whole")
-    return F.when(F.octet_length(line) < LONG_TOKENS - 1, None).otherwise(
-        let(F.trim(line), lambda t: let(_size(t), lambda n: F.when(n >= VERY_LONG_TOKENS, _key(_WHOLE, kind, _masked(t))).when(n >= LONG_TOKENS, _key(_WHOLE, kind, t))))
-    )
+    whole = F.when((size >= VERY_LONG_TOKENS) & sound, _key(_WHOLE, kind, line)).when(size >= LONG_TOKENS, _key(_WHOLE, kind, F.col("_raw")))
+    return lines.withColumn("_leaf", F.when(sound, tree)).withColumn("_whole", whole)
 
 
 def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _key, _drop: positions of the lines to drop, for documents that have any."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    parts = F.split("_text", "\n", -1)
-    masked = F.transform(parts, _masked)
+    lines = _lines(rows)
+    kind = F.col("_at").bitwiseAND(F.lit(3))
 
-    keys = let(parts, lambda p: F.array_distinct(F.concat(F.transform(F.transform(p, _masked), _leaf), F.transform(p, _whole))))
-    reached = rows.select(F.explode(keys).alias("_leaf")).filter("_leaf is not null").groupBy("_leaf").count()
-    kind = F.col("_leaf").bitwiseAND(F.lit(3))
+    # Keys that several documents may reach: counted by lines, of which documents that repeat a line have more.
+    document = F.xxhash64("_id", "_key").alias("_doc")
+    reached = lines.select(document, F.explode(F.array("_leaf", "_whole")).alias("_at")).filter("_at is not null")
+    reached = reached.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_doc").alias("_low"), F.max("_doc").alias("_high"))
     least = F.when(kind == _LEAF, MIN_DOCS).when(kind == _SHORT, SHORT_DOCS).otherwise(2)
-    reached = materialise(reached.filter(F.col("count") >= least).select("_leaf"), "leaves")
-    leaves, wholes = reached.filter(kind != _WHOLE), reached.filter(kind == _WHOLE)
+    reached = materialise(reached.filter((F.col("_n") >= least) & (F.col("_low") != F.col("_high"))).select("_at"), "reached")
 
-    # Long lines of two documents: all but the first go, and where there is one document only it is the first.
-    same = rows.select("_id", "_key", F.posexplode(F.transform(parts, _whole)).alias("_pos", "_leaf")).filter("_leaf is not null")
-    same = materialise(same.join(wholes, "_leaf", "left_semi").select("_id", "_key", "_pos", "_leaf"), "same")
-    first = same.groupBy("_leaf").agg(F.min(F.struct("_id", "_key")).alias("_keep"))
-    again = same.join(first, "_leaf").filter(~F.struct("_id", "_key").eqNullSafe(F.col("_keep"))).select("_id", "_key", "_pos")
+    found = lines.withColumn("_hash", F.xxhash64(F.lit(10), F.col("_line")))
+    may_vary = (kind == _LEAF) & (_free(F.col("_size")) > 0) & (F.col("_size") > LEADING)
+    found = found.select("_id", "_key", "_pos", "_hash", "_size", "_line", F.explode(F.array("_leaf", "_whole")).alias("_at")).filter("_at is not null")
+    found = found.withColumn("_line", F.when(may_vary, F.col("_line"))).join(reached, "_at", "left_semi")
+    found = materialise(found.withColumn("_kind", kind.cast("int")), "lines")
 
-    lines = rows.select("_id", "_key", F.posexplode(masked).alias("_pos", "_line")).withColumn("_leaf", _leaf(F.col("_line")))
-    kept = lines.join(leaves, "_leaf", "left_semi").withColumn("_hash", F.xxhash64(F.lit(10), F.col("_line")))
-    kept = materialise(kept.select("_id", "_key", "_pos", "_leaf", "_hash", "_line"), "lines")
+    # Long lines of two documents: all but the first go, and where there is one document only it is the first.
+    same = found.filter(F.col("_kind") == _WHOLE)
+    first = same.groupBy("_at").agg(F.min(F.struct("_id", "_key")).alias("_keep"))
+    again = same.join(first, "_at").filter(~F.struct("_id", "_key").eqNullSafe(F.col("_keep"))).select("_id", "_key", "_pos")
 
     # Distinct lines of the leaves (by leaf and hash), with the number of documents that have them.
+    kept = found.filter(F.col("_kind") != _WHOLE).withColumnRenamed("_at", "_leaf")
     once = materialise(kept.select("_leaf", "_hash", "_id", "_key").distinct(), "once")
     members = once.groupBy("_leaf", "_hash").agg(F.count(F.lit(1)).alias("_docs"), F.min(F.struct("_id", "_key")).alias("_first"))
     members = materialise(members, "members")
 
-    # Lines long enough for a free wildcard: which of their tokens recur at their place in the leaf.
-    size = _size(F.col("_line"))
-    long_lines = kept.filter(size >= LEADING + FREE).select("_leaf", "_hash", "_line").dropDuplicates(["_leaf", "_hash"])
-    tokens = F.transform(F.split("_line", " ", -1), lambda t: F.xxhash64(t))
-    placed = long_lines.join(members, ["_leaf", "_hash"]).select("_leaf", "_hash", "_docs", size.alias("_size"), F.posexplode(tokens).alias("_at", "_token"))
-    placed = materialise(placed, "placed")
+    # Lines that may have wildcards: which of their tokens recur at their place in the leaf.
+    varying = kept.filter("_line is not null").select("_leaf", "_hash", "_line").dropDuplicates(["_leaf", "_hash"])
+    tokens = F.transform(F.split("_line", " ", -1), lambda t: F.when(t != WILD, F.xxhash64(t)))
+    placed = varying.join(members, ["_leaf", "_hash"]).select("_leaf", "_hash", "_docs", F.size(tokens).alias("_size"), F.posexplode(tokens).alias("_at", "_token"))
+    placed = materialise(placed.filter("_token is not null"), "placed")
     constant = placed.groupBy("_leaf", "_at", "_token").agg(F.sum("_docs").alias("_n")).filter(F.col("_n") >= MIN_DOCS).select("_leaf", "_at", "_token")
     held = placed.join(constant, ["_leaf", "_at", "_token"]).groupBy("_leaf", "_hash", "_size").agg(F.array_sort(F.collect_list(F.struct("_at", "_token"))).alias("_held"))
-    free = F.floor((F.col("_size") - LEADING) / FREE)
-    general = held.filter(F.col("_size") - F.size("_held") <= free).select("_leaf", "_hash", F.xxhash64("_size", "_held").alias("_general"))
+    general = held.filter(F.col("_size") - F.size("_held") <= _free(F.col("_size"))).select("_leaf", "_hash", F.xxhash64("_size", "_held").alias("_general"))
 
     # Every other line is its own template. Documents of a template are counted: a line's are known, and where several
     # lines share a template, a document that has two of them counts once. The first document of each is found.
     of_line = members.join(general, ["_leaf", "_hash"], "left").select("_leaf", "_hash", "_docs", "_first", F.coalesce("_general", "_hash").alias("_template"))
     of_line = materialise(of_line, "templates")
     sums = of_line.groupBy("_leaf", "_template").agg(F.sum("_docs").alias("_n"), F.max("_docs").alias("_most"), F.min("_first").alias("_keep"))
-    enough = F.when(kind == _SHORT, SHORT_DOCS).otherwise(MIN_DOCS)
+    enough = F.when(F.col("_leaf").bitwiseAND(F.lit(3)) == _SHORT, SHORT_DOCS).otherwise(MIN_DOCS)
     sums = materialise(sums.filter(F.col("_n") >= enough), "sums")
     sure, unsure = sums.filter(F.col("_most") >= enough), sums.filter(F.col("_most") < enough)
     # An unsure template's lines have fewer than MIN_DOCS documents each.
@@ -129,7 +131,8 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
-    """docs with recurring lines taken out of text_col; with report also n_lines and n_dropped.
+    """docs with recurring lines taken out of text_col; with report also n_lines and n_dropped, which take the place of
+    columns of docs with these names.
 
     The rows travel as one struct, so no column of docs meets one of the operator's own.
     """
