@@ -130,3 +130,48 @@ def test_pieces_are_placed_gapless(spark, documents):
     assert all(r["ids_crc32"] == zlib.crc32(data[r["start"] : r["start"] + r["length"]].tobytes()) for r in long)
     assert [r["length"] for r in pieces[60]] == [1] and len(pieces[61]) == 2
     assert packing.pack(documents()).count() == 0
+
+
+def fewest_sequences(items, capacity):
+    """By dynamic programming over subsets: (sequences, filled part of the last) of the best order."""
+    best = [(0, capacity)] + [None] * ((1 << len(items)) - 1)
+    for mask in range(1, 1 << len(items)):
+        found = []
+        for i, k in enumerate(items):
+            if mask >> i & 1:
+                n, used = best[mask ^ (1 << i)]
+                found.append((n, used + k) if used + k <= capacity else (n + 1, k))
+        best[mask] = min(found)
+    return best[-1][0]
+
+
+def test_bin_completion_is_optimal_on_many_small_cases():
+    rng = random.Random(30)
+    for case in range(2000):
+        capacity = rng.choice([10, 30, 100, 1000])
+        low, high = rng.choice([(0.05, 0.5), (0.15, 0.4), (0.02, 1.0)])
+        items = [max(1, rng.randint(int(low * capacity), int(high * capacity))) for _ in range(rng.randint(0, 9))]
+        solution = packing.complete_bins(Counter(items), capacity)
+        assert sum(c for _, c in solution) == fewest_sequences(items, capacity), (case, capacity, items)
+        assert packing.lower_bound(Counter(items), capacity) <= fewest_sequences(items, capacity)
+
+
+def test_bin_completion_finds_what_greedy_fillings_miss():
+    items = [159, 160, 167, 172, 183, 188, 218, 235, 243, 246, 255, 302, 393]
+    assert sum(c for _, c in packing.complete_bins(Counter(items), 1000)) == 3
+
+
+def test_fillings_are_complete_and_ordered():
+    rng = random.Random(31)
+    for _ in range(200):
+        counts, room = [0] * 25, rng.randint(0, 24)
+        for _ in range(rng.randint(0, 8)):
+            counts[rng.randint(1, 24)] += 1
+        lengths = [k for k, n in enumerate(counts) if n]
+        got = [(w, f) for w, f in packing.fillings(lengths, counts, room) if f is not None]
+        every = {()}
+        for k in lengths:
+            every |= {tuple(sorted((*f, *[k] * n), reverse=True)) for f in every for n in range(counts[k] + 1)}
+        maximal = {f for f in every if sum(f) <= room and not any(counts[k] > f.count(k) and k <= room - sum(f) for k in lengths)}
+        assert len(got) == len(set(got)) and {f for _, f in got} == maximal
+        assert got == sorted(got, key=lambda g: (g[0], tuple(-x for x in g[1]))) and all(w == room - sum(f) for w, f in got)

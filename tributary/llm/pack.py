@@ -4,12 +4,15 @@ Pieces have whole lengths from 1 to CAPACITY, so however many documents there ar
 a histogram of at most CAPACITY counts. That histogram alone comes to the driver; the solution, at most a few
 thousand patterns (a filling and how often it is used), goes back. Documents stay where they are.
 
-Search. A node takes the largest remaining length and enumerates fillings of the rest of its sequence; a
-filling that another one dominates (its parts fit into the other's parts) is dropped. Fillings are tried
-from the least waste up, each as often as the counts allow, so equal documents are not branched on. The
+Search. A node takes the largest remaining length and enumerates all fillings of the rest of its sequence, lazily: from the
+least waste up, within a waste largest parts first. Sums that the remaining lengths cannot make are known from a table of bits, so no time goes into them. A
+filling that another one dominates (its parts fit into the other's parts) is dropped: at once where a remaining length fits
+into its waste, else by comparison with the last COMPARED fillings of its node. A filling is used as often as the counts allow, then once less, and so
+on, and what follows for the same length comes later in the order, so equal documents are not branched on and no solution is met twice. The
 first descent takes the best fit at every node and is the first incumbent; a node is pruned
 when the waste so far exceeds what an improvement on the incumbent may waste. The search ends when the
-incumbent meets the lower bound, or after NODES nodes with the best incumbent so far. Each use of a filling
+incumbent meets the lower bound, when everything has been tried (the incumbent is then optimal), or after NODES fillings with the best incumbent so far.
+The gap to the bound is logged. On the first descent each use of a filling
 uses up at least one length, or leaves fewer of it than one filling takes, so patterns stay below
 sum(CAPACITY / length), about 16,000.
 
@@ -21,12 +24,13 @@ run by a rank-based encoder, about four times faster than the tokenizer itself;
 with very long unbroken runs or with a special token's string go to the tokenizer. Both ways give the same ids.
 
 Defined results. Null text is empty; every document ends in id 0, so an empty one has length 1. Rows that
-repeat a doc_id are packed each. An empty table gives an empty result.
+repeat a doc_id are packed each. Texts of any length are read whole, a document at a time. Further columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import os
 import re
 import zlib
@@ -42,12 +46,15 @@ from pyspark.sql.window import Window
 from .common import materialise, table
 
 CAPACITY, END_ID, NODES = 2048, 0, 20_000
+#: Fillings of a node that a new one is compared with for dominance; fewer only prune less.
+COMPARED = 64
 #: Pieces that one rank bucket of a length should hold at most when every piece had that length.
 BUCKET_ROWS = 20_000
 #: The tokenizer's own pretoken pattern, a fixed value of byte-level BPE.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LONG = re.compile(r"\S{1000}|\s{1000}")
 _SPECIAL = "<|endoftext|>"
+_log = logging.getLogger(__name__)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -159,53 +166,81 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return len(b) <= 8 and place(0)
 
 
-def fillings(lengths: list[int], counts: list[int], room: int, most: int = 12) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` from the lengths at hand (ascending), least waste first.
+def _sums(lengths: list[int], counts: list[int], room: int) -> list[int]:
+    """By i, the sums up to room that the first i lengths can make, as bits."""
+    out, mask = [1], (1 << (room + 1)) - 1
+    for k in lengths:
+        bits, left, step = out[-1], min(counts[k], room // k), 1
+        while left:
+            take = min(step, left)
+            bits |= bits << (take * k)
+            left, step = left - take, step * 2
+        out.append(bits & mask)
+    return out
 
-    Every starting length from the largest that fits is completed greedily and, where two more parts can
-    end it without waste, exactly; the search for starts ends after `most` or once several waste nothing.
+
+def fillings(lengths: list[int], counts: list[int], room: int) -> Iterator[tuple[int, tuple[int, ...] | None]]:
+    """(waste, parts) of all fillings of `room` from the lengths at hand (ascending), by waste, then larger parts first.
+
+    Parts are None where a length that is left fits into the waste, so that the caller can count these too.
     """
-    found: dict[tuple[int, ...], int] = {}
-    i, starts, perfect = bisect_right(lengths, room) - 1, 0, 0
-    while i >= 0 and starts < most and perfect < 3:
-        first = lengths[i]
-        left = room - first
-        greedy, used = [first], {first: 1}
-        j = bisect_right(lengths, left) - 1
-        while j >= 0 and left > 0:
-            part = lengths[j]
-            if counts[part] > used.get(part, 0):
-                greedy.append(part)
-                used[part] = used.get(part, 0) + 1
-                left -= part
-                j = min(j, bisect_right(lengths, left) - 1)
-            else:
-                j -= 1
-        found[tuple(sorted(greedy, reverse=True))] = left
-        if left:
-            rest = room - first
-            k, looked = bisect_right(lengths, rest) - 1, 0
-            while k >= 0 and looked < 64 and 2 * lengths[k] >= rest:
-                a, b = lengths[k], rest - lengths[k]
-                if b > 0 and counts[b]:
-                    parts = tuple(sorted((first, a, b), reverse=True))
-                    if all(counts[p] >= parts.count(p) for p in parts):
-                        found[parts] = 0
-                        left = 0
-                        break
-                k, looked = k - 1, looked + 1
-        perfect += left == 0
-        starts, i = starts + 1, i - 1
-    out: list[tuple[int, ...]] = []
-    for parts in sorted(found, key=lambda p: (found[p], tuple(-x for x in p))):
-        if not any(dominates(kept, parts) for kept in out):
-            out.append(parts)
-    return out or [()]
+    lengths = lengths[: bisect_right(lengths, room)]
+    sums = _sums(lengths, counts, room)
+
+    def exact(i: int, target: int, chosen: list[int]) -> Iterator[tuple[int, ...]]:
+        if not target:
+            yield tuple(chosen)
+        while target and (i := min(i, bisect_right(lengths, target))) and sums[i] >> target & 1:
+            i -= 1
+            k = lengths[i]
+            for n in range(min(counts[k], target // k), 0, -1):
+                if sums[i] >> (target - n * k) & 1:
+                    yield from exact(i, target - n * k, chosen + [k] * n)
+
+    for waste in range(room + 1):
+        if sums[-1] >> (room - waste) & 1:
+            for parts in exact(len(lengths), room - waste, []):
+                fits = waste and any(counts[k] > parts.count(k) for k in lengths[: bisect_right(lengths, waste)])
+                yield waste, None if fits else parts
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    total = sum(k * n for k, n in counts.items())
-    return max(-(-total // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
+    """Sequences that any packing needs: by the sum of lengths, and by every threshold below which lengths are left out (Martello and Toth's L2)."""
+    n, size = np.zeros(capacity + 2, np.int64), np.arange(capacity + 2)
+    for k, c in counts.items():
+        n[k] = c
+    number, total = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * size)))  # of lengths below k
+    best, half = -(-int(total[-1]) // capacity), capacity // 2
+    for low in range(half + 1):
+        large, middle = int(number[-1] - number[capacity - low + 1]), int(number[capacity - low + 1] - number[half + 1])
+        rest = int(total[half + 1] - total[low]) - (middle * capacity - int(total[capacity - low + 1] - total[half + 1]))
+        best = max(best, large + middle + max(0, -(-rest // capacity)))
+    return best
+
+
+class _Options:
+    """What a node may do for its largest length: a filling, and how often it is used."""
+
+    def __init__(self, top: int, lengths: list[int], counts: list[int], capacity: int, after: tuple | None):
+        self.top, self.after, self.kept, self.now, self.copies = top, after, [], None, 0
+        counts = counts.copy()
+        counts[top] -= 1  # another document of this length may be among the filling
+        self.source = fillings(lengths if counts[top] else lengths[:-1], counts, capacity - top)
+
+    def following(self) -> bool:
+        """Go to the next undominated filling after `after`; False at the end. Each filling looked at is one call."""
+        self.now = None
+        for waste, parts in self.source:
+            if parts is None:
+                return True
+            key = (waste, tuple(-x for x in parts))
+            dominated = any(dominates(other, parts) for other in self.kept[-COMPARED:])
+            if not dominated:
+                self.kept.append(parts)
+            if not dominated and (self.after is None or key > self.after):
+                self.now = (key, (self.top, *parts))
+            return True
+        return False
 
 
 def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
@@ -215,11 +250,10 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
         counts[k] = n
     lengths = sorted(k for k, n in histogram.items() if n)
     total, least = sum(k * n for k, n in histogram.items()), lower_bound(histogram, capacity)
-    best: list[tuple[tuple[int, ...], int]] | None = None
-    best_bins = 0
-    path: list[tuple[tuple[int, ...], int]] = []
-    options: list[list[tuple[int, ...]]] = []
-    bins = waste = seen = 0
+    best: list[tuple[tuple[int, ...], int]] = []
+    best_bins, bins, waste, seen = 0, 0, 0, 0
+    path: list[tuple[tuple[int, ...], int]] = []  # of the nodes above
+    stack: list[_Options] = []
 
     def change(filling: tuple[int, ...], copies: int) -> None:
         for k in set(filling):
@@ -231,41 +265,44 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: in
             elif counts[k] == 0:
                 del lengths[at - 1]
 
-    def expand() -> None:
-        top = lengths[-1]
-        counts[top] -= 1  # a second document of this length may be among the filling
-        pool = lengths if counts[top] else lengths[:-1]
-        options.append([(top, *f) for f in reversed(fillings(pool, counts, capacity - top))])
-        counts[top] += 1
-
     if lengths:
-        expand()
-    while options:
-        if not options[-1]:
-            options.pop()
-            if path:
-                filling, copies = path.pop()
-                change(filling, copies)
-                bins, waste = bins - copies, waste - copies * (capacity - sum(filling))
-            continue
-        filling = options[-1].pop()
-        copies = min(counts[k] // filling.count(k) for k in set(filling))
-        lost = waste + copies * (capacity - sum(filling))
-        if best is not None and lost > (best_bins - 1) * capacity - total:
+        stack.append(_Options(lengths[-1], lengths, counts, capacity, None))
+    while stack:
+        node = stack[-1]
+        if len(path) == len(stack):  # back from a child: its filling once less
+            filling, copies = path.pop()
+            change(filling, copies)
+            bins, waste = bins - copies, waste - copies * (capacity - sum(filling))
+            node.copies = copies - 1
+        room = (best_bins - 1) * capacity - total - waste if best_bins else None  # waste that an improvement still allows
+        if node.now and room is not None:
+            lost = capacity - sum(node.now[1])
+            node.copies = min(node.copies, room // lost) if lost else node.copies if room >= 0 else 0
+        if not node.now or node.copies <= 0:
+            more = node.following()
+            seen += 1
+            if node.now:
+                lost = capacity - sum(node.now[1])
+                if room is not None and lost > room:  # later fillings waste as much
+                    more = False
+                node.copies = min(counts[k] // node.now[1].count(k) for k in set(node.now[1]))
+            if not more:
+                stack.pop()
+            if best_bins and seen >= nodes:
+                break
             continue
-        seen += 1
-        change(filling, -copies)
-        path.append((filling, copies))
-        bins, waste = bins + copies, lost
+        key, filling = node.now
+        change(filling, -node.copies)
+        path.append((filling, node.copies))
+        bins, waste = bins + node.copies, waste + node.copies * (capacity - sum(filling))
         if lengths:
-            expand()
-        else:
-            if best is None or bins < best_bins:
-                best, best_bins = list(path), bins
-            options.append([])
-        if best is not None and (best_bins <= least or seen >= nodes):
-            break
-    return best or []
+            stack.append(_Options(lengths[-1], lengths, counts, capacity, key if lengths[-1] == node.top else None))
+        elif not best_bins or bins < best_bins:
+            best, best_bins = list(path), bins
+            if best_bins <= least:
+                break
+    _log.info("%d sequences, lower bound %d, %d fillings looked at", best_bins, least, seen)
+    return best
 
 
 class Placement:
