@@ -175,3 +175,35 @@ def test_fillings_are_complete_and_ordered():
         maximal = {f for f in every if sum(f) <= room and not any(counts[k] > f.count(k) and k <= room - sum(f) for k in lengths)}
         assert len(got) == len(set(got)) and {f for _, f in got} == maximal
         assert got == sorted(got, key=lambda g: (g[0], tuple(-x for x in g[1]))) and all(w == room - sum(f) for w, f in got)
+
+
+def test_rows_that_repeat_id_and_text_come_near_the_target_too(spark, documents):
+    rows = [(None, "w " * 10, "a")] * 500 + [(i, "x " * 10, "b") for i in range(100)]
+    docs = documents(*rows)
+    for _ in range(2):
+        kept = Counter(r["source"] for r in mixing.take_mix(docs.repartition(7)).collect())
+        assert abs(10 * kept["a"] - 30_000 / 7) <= 10 and abs(10 * kept["b"] - 12_000 / 7) <= 10
+    sized = docs.select("doc_id", "source", mixing.word_count(docs["text"]).alias("size"), mixing.row_hash(6).alias("_h"))
+    taken = Counter()
+    for r in mixing.mix_sources(sized).collect():
+        taken[r["source"]] += r["taken"]
+    assert abs(taken["a"] - 30_000 / 7) <= 10 and abs(taken["b"] - 12_000 / 7) <= 10
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(8)
+    sizes = {f"s{i:03d}": int(rng.paretovariate(0.6)) for i in range(300)} | {None: 7, "zero": 0}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(frame).collect()}
+    want = targets_by_force(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_the_query_equals_its_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    got = sorted(tuple(r) for r in mixing.op6_source_mix(spark, folder).select("doc_id", "size", "source_size", "target", "taken").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    assert got == sorted(con.execute(mixing.OP6_SQL).fetchall())

@@ -9,7 +9,7 @@ from .pack import op9_best_fit_pack
 from .pii import op1_pii
 from .secret_scan import op4_secret_scan
 from .simhash_dedup import op3_simhash_dedup
-from .source_mix import op6_source_mix
+from .source_mix import OP6_SQL, op6_source_mix
 from .toxicity import op5_toxicity
 from .vector_search import op7_vector_search
 
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_chat_format": OP2_SQL,
+    "op6_source_mix": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
