@@ -53,3 +53,79 @@ def test_edge_rows(spark, documents):
     assert by[1][0]["base_sha256"] == by[2][0]["base_sha256"] == empty and by[1][0]["spans"] == ""
     assert len(by[3]) == 2 and by[3][0]["spans"] == "email:0:6,phone:9:26" and by[None][0]["n_ip"] == 1
     assert pii.find_pii(documents()).count() == 0
+
+
+def test_viterbi_matches_brute_force():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        tags = 4
+        crf = pii.Crf({}, rng.normal(size=(1, tags)), rng.normal(size=(tags + 1, tags)))
+        scores = [rng.normal(size=(int(n), tags)) for n in rng.integers(1, 6, 5)]
+        for s, got in zip(scores, crf.viterbi(scores), strict=True):
+            value = lambda y: crf.trans[-1, y[0]] + sum(s[i, t] for i, t in enumerate(y)) + sum(crf.trans[a, b] for a, b in itertools.pairwise(y))  # noqa: B023, E731
+            assert tuple(got) == max(itertools.product(range(tags), repeat=len(s)), key=value)
+
+
+def test_gradient_matches_differences():
+    import numpy as np
+
+    rows = [[["a", "b"], ["b"], ["c", "a"]], [["c"], ["a"]], [["b", "c"]]]
+    data = pii._Training(rows, [[0, 1, 2], [2, 2], [1]], 3)
+    rng = np.random.default_rng(2)
+    weights = [rng.normal(size=shape) for shape in data.shape]
+    weights[0][-1] = 0  # unknown features
+    value, *slopes = data.gradient(*weights)
+    for x, slope in zip(weights, slopes, strict=True):
+        for at in np.ndindex(x.shape):
+            if x is weights[0] and at[0] == x.shape[0] - 1:
+                continue  # padding
+            x[at] += 1e-6
+            assert abs((data.gradient(*weights)[0] - value) / 1e-6 - slope[at]) < 1e-4
+            x[at] -= 1e-6
+
+
+def held_out(n, seed):
+    """Sentences with words, and mostly forms, that the training table does not have."""
+    rng = random.Random(seed)
+    write = lambda form: "".join(str(rng.randrange(10)) if c == "#" else c for c in form)
+    cases = [
+        ("phone", ["### ###-####", "(###)###-####", "0## ####-####", "0#-##-##-##-##", "0## / #######", "##-####-####"], ["reach us under", "dial", "whatsapp", "contact", "hotline"]),
+        ("card", ["#### #### #### ####", "5###############", "####.####.####.####"], ["mastercard", "charged to", "debit", "kreditkarte"]),
+        ("id", ["### ## ####", "###-##-####"], ["ssn no", "social security no", "taxpayer"]),
+        ("", ["20##-##-##T##:##", "##.##.20## ##:##", "978-##-####-###-#", "###,###,###", "##.###.###", "20##/##/##", "#### #### ####", "1.##########"], ["released", "of", "revenue", "volume", "measured", "created", "about"]),
+        ("", ["###-###-####", "##-###-####"], ["part no", "sku", "isbn", "model", "item"]),
+    ]
+    for _ in range(n):
+        kind, forms, words = rng.choice(cases)
+        word, value = rng.choice(words), write(rng.choice(forms))
+        head = rng.choice(["please note ", "Our ", "", "hier: "]) + word + rng.choice([" ", ": ", " - "])
+        yield head + value + rng.choice([" thanks", ".", ", and more", "\nnext"]), (len(head), len(head) + len(value), kind) if kind else None
+
+
+def test_precision_and_recall_on_held_out_forms():
+    cases = list(held_out(600, 5))
+    found = pii.crf_spans([t for t, _ in cases], pii.model())
+    wanted = sum(span is not None for _, span in cases)
+    hits = sum(span in spans for (_, span), spans in zip(cases, found, strict=True) if span)
+    given = sum(map(len, found))
+    print(f"precision {hits / given:.3f}, recall {hits / wanted:.3f}")
+    assert hits / given >= 0.85 and hits / wanted >= 0.7
+
+
+def test_what_stands_before_in_a_group_does_not_cut_a_number():
+    for pairs in range(64):
+        text = "phone " + "12 " * pairs + "or 415-555-2671 end"
+        assert (text.index("415"), text.index(" end"), "phone") in pii.crf_spans([text], pii.model())[0]
+    long = "phone " + "12 " * 5000 + "415-555-2671 end"
+    assert len(pii.crf_spans([long] * 2, pii.model())) == 2
+
+
+def test_features_by_blocks_are_those_of_the_whole():
+    tokens = ["12", "-", "345", " ", "6", ".", "78", "/", "9"]
+    for lo in range(len(tokens)):
+        for hi in range(lo + 1, len(tokens) + 1):
+            assert pii.features(tokens, "call", lo, hi) == pii.features(tokens, "call")[lo:hi]

@@ -4,12 +4,12 @@ Base kinds (leftmost, non-overlapping per kind, matches that fail their test dro
 email, ip, card (Luhn), phone. The scanners below are linear in the text, also on runs of one character.
 
 The CRF tags tokens of number groups: runs of digits and of the marks between them. Its features are
-token shapes (digit-run length or the mark), their neighbours' shapes, the size of the group and the
+token shapes (digit-run length or the mark), their neighbours' shapes, the size of the group, whether it opens with a zero, and the
 word before it. Weights come from labelled_table(), a small table of labelled sentences, by maximum
-likelihood (forward-backward, full-batch Adam) in a second or two. Decoding is Viterbi in numpy, over batches of
-groups padded to a common length. Two hard constraints hold in training and decoding: a token with
-letters is O, and so is a group with fewer than MIN_DIGITS digits. A token that is certainly O separates
-a chain, so decoding the groups alone is exact inference over the whole text.
+likelihood (forward-backward, full-batch Adam) in a few seconds. Decoding is Viterbi in numpy, over batches of
+groups padded to a common length. A text's groups are separate chains, each with its own start: text between them, and groups with fewer than MIN_DIGITS
+digits, belong to no chain. A group is decoded whole, however long (about 100 bytes of memory a token of it). A decoded span is kept
+if its number of digits lies in the limits of its kind, DIGITS.
 
 Spans the CRF adds: phone numbers without a plus sign, card-like numbers whether or not they pass Luhn, dotted quads
 in other writings and national identity numbers (kind id). A span that touches a base span is dropped,
@@ -35,8 +35,10 @@ from .common import table
 
 KINDS = ("email", "ip", "card", "phone", "id")
 MIN_DIGITS = 7
-#: Groups decoded in one numpy batch; groups longer than LONG tokens are cut at their longest inner gap.
-BATCH = 2048
+#: Padded tokens that are decoded in one numpy batch (a longer group is a batch of its own), and tokens whose features are looked up at once.
+BATCH_TOKENS, LOOKUP = 16_384, 4096
+#: Digits that a span of each kind has.
+DIGITS = {"phone": (7, 15), "card": (13, 19), "ip": (4, 12), "id": (9, 9)}
 
 Span = tuple[int, int, str]
 
@@ -93,10 +95,6 @@ def base_spans(text: str) -> list[Span]:
 TAGS = ("O", *(f"{p}-{k}" for k in ("phone", "card", "ip", "id") for p in "BI"))
 _GROUP = re.compile(r"[0-9(+][0-9().+/:\- ]*+")
 _TOKEN = re.compile(r"[0-9]+|[^0-9]")
-_BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,3}$")
-LONG = 64
-
-
 def groups(text: str) -> list[tuple[int, str]]:
     """(start, text) of the number groups with MIN_DIGITS digits or more, ending in their last digit or bracket."""
     out = []
@@ -111,14 +109,18 @@ def _shape(token: str) -> str:
     return f"d{min(len(token), 13) if len(token) < 7 or len(token) > 12 else 7 + (len(token) - 7) // 2}" if token[0].isdigit() else token
 
 
-def features(tokens: list[str], before: str) -> list[list[str]]:
-    shapes = ["^^", "^", *map(_shape, tokens), "$", "$$"]
+def features(tokens: list[str], before: str, lo: int = 0, hi: int | None = None) -> list[list[str]]:
+    """Features of the tokens from lo to hi of a group."""
+    hi = len(tokens) if hi is None else hi
+    edge = ["^^", "^"][lo:]
+    shapes = [*edge, *(_shape(t) for t in tokens[max(0, lo - 2) : hi + 2]), "$", "$$"]
     digits = sum(len(t) for t in tokens if t[0].isdigit())
-    size = f"n{min(digits, 20)}"
+    first = next((t for t in tokens if t[0].isdigit()), "")
+    size, zero = f"n{min(digits, 20)}", f"z{first[:1] == '0'}"
     out = []
-    for i in range(len(tokens)):
+    for i in range(hi - lo):
         a, b, c, d, e = shapes[i : i + 5]
-        out.append(["bias", f"s={c}", f"p={b}", f"q={d}", f"pc={b}|{c}", f"cq={c}|{d}", f"pcq={b}|{c}|{d}", f"aa={a}|{b}", f"ee={d}|{e}", f"{size}|{c}", f"w={before}", f"first={i == 0}", f"w={before}|{c}"])
+        out.append(["bias", f"s={c}", f"p={b}", f"q={d}", f"pc={b}|{c}", f"cq={c}|{d}", f"pcq={b}|{c}|{d}", f"aa={a}|{b}", f"ee={d}|{e}", f"{size}|{c}", f"{zero}|{size}|{c}", f"w={before}", f"first={lo + i == 0}", f"w={before}|{c}", f"w={before}|{size}"])
     return out
 
 
@@ -127,62 +129,137 @@ def labelled_table() -> list[tuple[str, list[Span]]]:
     rng = np.random.default_rng(7)
     num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     forms = {
-        "phone": [lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"0{num(2)} {num(3)} {num(4)}", lambda: f"0{num(3)}/{num(7)}", lambda: f"+{num(2)} {num(3)} {num(3)} {num(3)}", lambda: f"+1 ({num(3)}) {num(3)}-{num(4)}"],
-        "card": [lambda: f"{num(4)} {num(4)} {num(4)} {num(4)}", lambda: f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", lambda: f"4{num(15)}", lambda: f"{num(4)} {num(6)} {num(5)}"],
-        "ip": [lambda: ".".join(str(x) for x in rng.integers(10, 255, 4))],
-        "id": [lambda: f"{num(3)}-{num(2)}-{num(4)}"],
-        "": [lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(2)}/{num(2)}/20{num(2)}", lambda: f"{num(2)}.{num(2)}.20{num(2)}", lambda: f"20{num(2)}-{num(2)}-{num(2)} {num(2)}:{num(2)}:{num(2)}", lambda: f"{num(7)}", lambda: f"{num(8)}", lambda: f"{num(10)}", lambda: f"{num(3)} {num(3)} {num(3)}", lambda: f"{num(1)}.{num(9)}", lambda: f"{num(4)} - {num(4)}", lambda: " ".join(num(2) for _ in range(9)), lambda: f"{num(20)}", lambda: f"{num(24)}", lambda: f"{num(3)}.{num(3)}.{num(3)}", lambda: f"({num(4)}) {num(4)}"],
+        "phone": ["(###) ###-####", "###-###-####", "###.###.####", "### ### ####", "0## ### ####", "0##/#######", "0### #######", "0## #### ####", "0# ## ## ## ##", "0#.##.##.##.##", "0##-########", "+## ### ### ###", "+1 (###) ###-####", "###-####"],
+        "card": ["#### #### #### ####", "####-####-####-####", "4###############", "#### ###### #####"],
+        "ip": [""],
+        "id": ["###-##-####", "### ## ####"],
+        "": ["20##-##-##", "##/##/20##", "##.##.20##", "20##-##-## ##:##:##", "#######", "########", "##########", "### ### ###", "#.#########", "#### - ####", "## ## ## ## ## ## ## ## ##", "#" * 20, "#" * 24, "###.###.###", "(####) ####", "978-#-##-######-#", "978-#-###-#####-#", "#-###-#####-#", "####-####", "##,###.##"],
+        "-": ["###-###-####", "###-##-####", "### ### ####", "##-###-####"],  # of articles: only the word before tells
     }
     words = {
-        "phone": ["call", "phone", "tel", "mobile", "llame", "telefon", "appelez", "fax", "at", "und", "de"],
+        "phone": ["call", "phone", "tel", "mobile", "cell", "ring", "llame", "telefon", "appelez", "fax", "number", "handy", "at", "und", "de"],
         "card": ["card", "visa", "karte", "tarjeta", "carte", "paid", "at", "und", "de"],
         "ip": ["host", "server", "ip", "address", "at", "und", "de"],
-        "id": ["ssn", "social", "insurance", "number", "at", "und", "de"],
-        "": ["on", "dated", "order", "version", "total", "page", "am", "el", "le", "und", "de", "isbn", "invoice", "at", "the"],
+        "id": ["ssn", "social", "insurance", "security", "id", "at", "und", "de"],
+        "": ["on", "dated", "order", "version", "total", "page", "am", "el", "le", "und", "de", "isbn", "invoice", "at", "the", "since"],
+        "-": ["part", "isbn", "sku", "item", "article", "model", "serial", "invoice", "order", "artikel", "pieza"],
     }
+
+    def write(form: str) -> str:
+        return "".join(num(1) if c == "#" else c for c in form) or ".".join(str(x) for x in rng.integers(10, 255, 4))
+
     rows = []
-    for kind, makers in forms.items():
-        for make in makers:
-            for i in range(16 if kind else 20):
-                word = words[kind][i % len(words[kind])]
-                value = make()
+    for kind, written in forms.items():
+        for form in written:
+            if form == "###-####" and kind:  # too short to stand without its word
+                known = [w for w in words[kind] if w not in ("at", "und", "de")]
+            else:
+                known = words[kind]
+            for i in range(2 * len(known) if kind == "-" else 16 if kind else 20):
+                word = known[i % len(known)]
+                value = write(form)
                 head = f"we see {word}: " if i % 3 == 0 else f"the {word} "
                 text = f"{head}{value}{' and then' if i % 2 else '.'}"
-                rows.append((text, [(len(head), len(head) + len(value), kind)] if kind else []))
+                rows.append((text, [(len(head), len(head) + len(value), kind)] if kind in KINDS else []))
     return rows
 
 
+def _lse(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+class _Training:
+    """Labelled chains, and the gradient of their log-likelihood by forward-backward."""
+
+    def __init__(self, rows: list[list[list[str]]], tags: list[list[int]], tag_count: int):
+        self.vocabulary: dict[str, int] = {}
+        for row in rows:
+            for names in row:
+                for name in names:
+                    self.vocabulary.setdefault(name, len(self.vocabulary))
+        k = self.k = tag_count
+        self.shape = ((len(self.vocabulary) + 1, k), (k + 1, k))  # the last row of emit is of unknown features, that of trans starts a chain
+        n, width = len(rows), max(map(len, rows))
+        self.live = np.arange(width)[None, :] < np.array([len(r) for r in rows])[:, None]
+        names = [f for row in rows for f in row]  # of the live tokens, row by row
+        self.ids = np.full((len(names), max(map(len, names))), len(self.vocabulary), np.int64)
+        for i, f in enumerate(names):
+            self.ids[i, : len(f)] = [self.vocabulary[x] for x in f]
+        gold = np.zeros((n, width), np.int64)
+        for i, row in enumerate(tags):
+            gold[i, : len(row)] = row
+        order = np.argsort(self.ids.ravel(), kind="stable")
+        self.present, self.begin = np.unique(self.ids.ravel()[order], return_index=True)
+        self.token = np.repeat(np.arange(len(names)), self.ids.shape[1])[order]
+        self.want_e = self._by_feature(np.eye(k)[gold[self.live]])
+        self.want_t = np.zeros(self.shape[1])
+        np.add.at(self.want_t, (np.full(n, k), gold[:, 0]), 1)
+        inner = self.live[:, 1:]
+        np.add.at(self.want_t, (gold[:, :-1][inner], gold[:, 1:][inner]), 1)
+
+    def _by_feature(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[0])
+        out[self.present] = np.add.reduceat(weights[self.token], self.begin, axis=0)
+        return out
+
+    def gradient(self, emit: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood, and its derivatives by emit and trans."""
+        live, k = self.live, self.k
+        n, width = live.shape
+        s = np.zeros((n, width, k))
+        s[live] = emit[self.ids].sum(axis=1)
+        alpha = np.zeros((n, width, k))
+        alpha[:, 0] = s[:, 0] + trans[k]
+        for t in range(1, width):
+            new = _lse(alpha[:, t - 1, :, None] + trans[None, :k], 1) + s[:, t]
+            alpha[:, t] = np.where(live[:, t, None], new, alpha[:, t - 1])
+        beta = np.zeros((n, width, k))
+        for t in range(width - 2, -1, -1):
+            new = _lse(trans[None, :k] + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+            beta[:, t] = np.where(live[:, t + 1, None], new, 0.0)
+        z = _lse(alpha[:, -1], 1)
+        node = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
+        have_e, have_t = self._by_feature(node[live]), np.zeros(self.shape[1])
+        have_t[k] = node[:, 0].sum(axis=0)
+        pair = np.exp(alpha[:, :-1, :, None] + trans[None, None, :k] + (s + beta)[:, 1:, None, :] - z[:, None, None, None])
+        have_t[:k] = (pair * live[:, 1:, None, None]).sum(axis=(0, 1))
+        value = float((self.want_e * emit).sum() + (self.want_t * trans).sum() - z.sum())
+        return value, self.want_e - have_e, self.want_t - have_t
+
+
 class Crf:
     """Linear-chain conditional random field with string features."""
 
     def __init__(self, vocabulary: dict[str, int], emit: np.ndarray, trans: np.ndarray):
         self.vocabulary, self.emit, self.trans = vocabulary, emit, trans
 
-    def scores(self, rows: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-        """Padded emission scores (rows, tokens, tags) and lengths; row `unknown` of emit is zero."""
-        unknown = len(self.vocabulary)
-        lengths = np.array([len(r) for r in rows])
-        width = max((len(f) for r in rows for f in r), default=1)
-        ids = np.full((len(rows), int(lengths.max()), width), unknown, np.int64)
-        for i, row in enumerate(rows):
-            for j, names in enumerate(row):
-                ids[i, j, : len(names)] = [self.vocabulary.get(n, unknown) for n in names]
-        return self.emit[ids].sum(axis=2), lengths
-
-    def viterbi(self, rows: list[list[list[str]]]) -> list[np.ndarray]:
-        """Best tags of each row. Ties go to the lower tag number."""
-        if not rows:
+    def scores(self, tokens: list[str], before: str) -> np.ndarray:
+        """Emission scores (tokens, tags) of a group; features are looked up a block of tokens at a time."""
+        unknown, out = len(self.vocabulary), np.empty((len(tokens), self.emit.shape[1]))
+        for lo in range(0, len(tokens), LOOKUP):
+            hi = min(len(tokens), lo + LOOKUP)
+            ids = [[self.vocabulary.get(name, unknown) for name in names] for names in features(tokens, before, lo, hi)]
+            out[lo:hi] = self.emit[np.array(ids, np.int64)].sum(axis=1)
+        return out
+
+    def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """Best tags of each group, from its emission scores. Ties go to the lower tag number."""
+        if not scores:
             return []
-        emit, lengths = self.scores(rows)
-        n, width, tags = emit.shape
-        best, back = emit[:, 0] + self.trans[-1], np.zeros((n, width, tags), np.int64)
+        lengths = np.array([len(s) for s in scores])
+        n, width, tags = len(scores), int(lengths.max()), self.emit.shape[1]
+        emit = np.zeros((n, width, tags))
+        for i, s in enumerate(scores):
+            emit[i, : len(s)] = s
+        best, back = emit[:, 0] + self.trans[-1], np.zeros((n, width, tags), np.int8)
         for t in range(1, width):
             step = best[:, :, None] + self.trans[None, :-1]
             back[:, t] = step.argmax(axis=1)
             new = step.max(axis=1) + emit[:, t]
             best = np.where((t < lengths)[:, None], new, best)
         at = best.argmax(axis=1)
-        out = np.zeros((n, width), np.int64)
+        out = np.zeros((n, width), np.int8)
         for t in range(width - 1, -1, -1):
             live = t < lengths
             out[live, t] = at[live]
@@ -191,78 +268,29 @@ class Crf:
 
     @classmethod
     def train(cls, rows: list[list[list[str]]], tags: list[list[int]], steps: int = 80, rate: float = 0.2, l2: float = 0.02) -> Crf:
-        vocabulary: dict[str, int] = {}
-        for row in rows:
-            for names in row:
-                for name in names:
-                    vocabulary.setdefault(name, len(vocabulary))
-        k = len(TAGS)
-        emit, trans = np.zeros((len(vocabulary) + 1, k)), np.zeros((k + 1, k))  # the last row of trans starts a chain
-        n, width = len(rows), max(map(len, rows))
-        lengths = np.array([len(r) for r in rows])
-        live = np.arange(width)[None, :] < lengths[:, None]
-        names = [f for row in rows for f in row]  # of the live tokens, row by row
-        ids = np.full((len(names), max(map(len, names))), len(vocabulary), np.int64)
-        for i, f in enumerate(names):
-            ids[i, : len(f)] = [vocabulary[x] for x in f]
-        gold = np.zeros((n, width), np.int64)
-        for i, row in enumerate(tags):
-            gold[i, : len(row)] = row
-        order = np.argsort(ids.ravel(), kind="stable")
-        present, begin = np.unique(ids.ravel()[order], return_index=True)
-        token = np.repeat(np.arange(len(names)), ids.shape[1])[order]
-
-        def by_feature(weights: np.ndarray) -> np.ndarray:
-            out = np.zeros_like(emit)
-            out[present] = np.add.reduceat(weights[token], begin, axis=0)
-            return out
-
-        want_e = by_feature(np.eye(k)[gold[live]])
-        want_t = np.zeros_like(trans)
-        np.add.at(want_t, (np.full(n, k), gold[:, 0]), 1)
-        inner = live[:, 1:]
-        np.add.at(want_t, (gold[:, :-1][inner], gold[:, 1:][inner]), 1)
-
-        def lse(x: np.ndarray, axis: int) -> np.ndarray:
-            top = x.max(axis=axis, keepdims=True)
-            return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-        moments = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(trans), np.zeros_like(trans)]
+        data = _Training(rows, tags, len(TAGS))
+        weights = [np.zeros(data.shape[0]), np.zeros(data.shape[1])]
+        moments = [(np.zeros_like(x), np.zeros_like(x)) for x in weights]
         for step in range(1, steps + 1):
-            s = np.zeros((n, width, k))
-            s[live] = emit[ids].sum(axis=1)
-            alpha = np.zeros((n, width, k))
-            alpha[:, 0] = s[:, 0] + trans[k]
-            for t in range(1, width):
-                new = lse(alpha[:, t - 1, :, None] + trans[None, :k], 1) + s[:, t]
-                alpha[:, t] = np.where(live[:, t, None], new, alpha[:, t - 1])
-            beta = np.zeros((n, width, k))
-            for t in range(width - 2, -1, -1):
-                new = lse(trans[None, :k] + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-                beta[:, t] = np.where(live[:, t + 1, None], new, 0.0)
-            z = lse(alpha[:, -1], 1)
-            node = np.exp(alpha + beta - z[:, None, None]) * live[:, :, None]
-            have_e, have_t = by_feature(node[live]), np.zeros_like(trans)
-            have_t[k] = node[:, 0].sum(axis=0)
-            pair = np.exp(alpha[:, :-1, :, None] + trans[None, None, :k] + (s + beta)[:, 1:, None, :] - z[:, None, None, None])
-            have_t[:k] = (pair * live[:, 1:, None, None]).sum(axis=(0, 1))
-            for x, want, have, m, v in ((emit, want_e, have_e, moments[0], moments[1]), (trans, want_t, have_t, moments[2], moments[3])):
-                grad = (have - want) / n + l2 * x / n
+            _, *slopes = data.gradient(*weights)
+            for x, slope, (m, v) in zip(weights, slopes, moments, strict=True):
+                grad = (l2 * x - slope) / len(rows)
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            emit[-1] = 0
-        return cls(vocabulary, emit, trans)
+            weights[0][-1] = 0
+        return cls(data.vocabulary, *weights)
 
 
 def _before(text: str, start: int) -> str:
-    found = _BEFORE.search(text, max(0, start - 24), start)
-    return found[1].lower() if found else ""
-
-
-def _sequence(text: str, start: int, part: str) -> tuple[list[str], list[list[str]]]:
-    tokens = _TOKEN.findall(part)
-    return tokens, features(tokens, _before(text, start))
+    """The word that ends at most three marks or spaces before start."""
+    end = start
+    while end > max(0, start - 3) and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+        end -= 1
+    begin = end
+    while begin and text[begin - 1].isalpha():
+        begin -= 1
+    return text[begin:end].lower()
 
 
 @lru_cache(maxsize=1)
@@ -270,56 +298,54 @@ def model() -> Crf:
     rows, tags = [], []
     for text, spans in labelled_table():
         for start, part in groups(text):
-            tokens, feats = _sequence(text, start, part)
+            tokens = _TOKEN.findall(part)
             row, at = [], start
             for token in tokens:
                 kind, first = next(((k, at == a) for a, b, k in spans if a <= at < b), ("", False))
                 row.append(TAGS.index(f"{'B' if first else 'I'}-{kind}") if kind else 0)
                 at += len(token)
-            rows.append(feats)
+            rows.append(features(tokens, _before(text, start)))
             tags.append(row)
     return Crf.train(rows, tags)
 
 
-def _cut(start: int, part: str) -> Iterator[tuple[int, str]]:
-    """Pieces of at most LONG tokens; cuts fall on a space where there is one, else between tokens."""
-    tokens = _TOKEN.findall(part)
-    while len(tokens) > LONG:
-        cut = next((i for i in range(LONG - 1, LONG // 2, -1) if tokens[i] == " "), LONG - 1) + 1
-        piece = "".join(tokens[:cut])
-        yield start, piece
-        start, tokens = start + len(piece), tokens[cut:]
-    yield start, "".join(tokens)
-
-
-_LEAST = {"phone": (7, 15), "card": (13, 19), "ip": (4, 12), "id": (9, 9)}
+def _batches(work: list[tuple[int, int, list[str]]]) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """Groups of like lengths, at most BATCH_TOKENS padded tokens together."""
+    batch: list[tuple[int, int, list[str]]] = []
+    for item in sorted(work, key=lambda w: len(w[2])):
+        if batch and (len(batch) + 1) * len(item[2]) > BATCH_TOKENS:
+            yield batch
+            batch = []
+        batch.append(item)
+    if batch:
+        yield batch
+
+
+def _decoded(text: str, start: int, tokens: list[str], tags: list[int]) -> Iterator[Span]:
+    """Spans of a tagged group, ending in their last token that is no space."""
+    at, kind, begun, end = start, "", 0, 0
+    for token, tag in [*zip(tokens, tags, strict=True), ("", 0)]:
+        name = TAGS[tag]
+        if kind and name != f"I-{kind}":
+            if DIGITS[kind][0] <= sum(map(str.isdecimal, text[begun:end])) <= DIGITS[kind][1]:
+                yield begun, end, kind
+            kind = ""
+        if name[0] == "B":
+            kind, begun = name[2:], at
+        at += len(token)
+        if kind and token.strip():
+            end = at
 
 
 def crf_spans(texts: list[str], crf: Crf) -> list[list[Span]]:
     """Spans that the CRF finds in each text."""
-    work, out = [], [[] for _ in texts]
-    for i, text in enumerate(texts):
-        if _DIGIT.search(text):
-            work += [(i, *piece) for start, part in groups(text) for piece in _cut(start, part)]
-    for lo in range(0, len(work), BATCH):
-        part = sorted(work[lo : lo + BATCH], key=lambda w: len(w[2]))  # like lengths pad less
-        for j in range(0, len(part), 256):
-            block = [(i, s, *_sequence(texts[i], s, p)) for i, s, p in part[j : j + 256]]
-            for (i, start, tokens, _), tags in zip(block, crf.viterbi([b[3] for b in block]), strict=True):
-                at, open_kind, begun, end = start, "", 0, 0
-                for token, tag in [*zip(tokens, tags.tolist(), strict=True), ("", 0)]:
-                    name = TAGS[tag]
-                    if open_kind and name != f"I-{open_kind}":
-                        digits = sum(map(str.isdecimal, texts[i][begun:end]))
-                        if _LEAST[open_kind][0] <= digits <= _LEAST[open_kind][1]:
-                            out[i].append((begun, end, open_kind))
-                        open_kind = ""
-                    if name[0] == "B":
-                        open_kind, begun = name[2:], at
-                    at += len(token)
-                    if open_kind and token.strip():
-                        end = at
-    return out
+    work = [(i, start, _TOKEN.findall(part)) for i, text in enumerate(texts) if _DIGIT.search(text) for start, part in groups(text)]
+    out: list[list[Span]] = [[] for _ in texts]
+    for batch in _batches(work):
+        tagged = crf.viterbi([crf.scores(tokens, _before(texts[i], start)) for i, start, tokens in batch])
+        for (i, start, tokens), tags in zip(batch, tagged, strict=True):
+            out[i] += _decoded(texts[i], start, tokens, tags.tolist())
+    return [sorted(spans) for spans in out]
 
 
 def _joined(spans: Iterable[Span]) -> str:
