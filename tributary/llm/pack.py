@@ -36,6 +36,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,12 @@ class Ids:
         return np.array(self.fast(text), "<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def _ids(path: str) -> Ids:
+    """Loaded once a worker process, not once a task: a load takes over a hundred megabytes for a moment."""
+    return Ids(path)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -119,7 +126,7 @@ def _tokenizer_path(path: str | None) -> str:
 
 def _cutter(path: str | None, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(_tokenizer_path(path))
+        ids = _ids(_tokenizer_path(path))
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             docs, piece, start, length, crc = [], [], [], [], []
