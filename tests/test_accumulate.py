@@ -136,3 +136,57 @@ def test_running_balance_and_counters(spark):
     df = rows(spark, [("a", 1.0), ("a", -3.0), ("b", 2.0)])
     assert [r["balance"] for r in acc.running_balance(df, ["key"], "_seq", "value").orderBy("_seq").collect()] == [1.0, -2.0, 2.0]
     assert {r["key"]: r["counters"] for r in acc.counters(df, ["key"], "value").collect()}["b"] == {2.0: 1}
+
+
+def test_time_windows_lose_no_row_whose_time_lies_before_its_period(spark):
+    df = finite(spark, [(float(t),) for t in (10, 8, 12, 21, 22)], "t double")
+    out = acc.reduce(n=Agg.count()).emit_within(10).apply(df, "_seq", "t")
+    assert sorted(r["n"] for r in out.collect()) == [1, 4]
+
+
+@pytest.mark.parametrize("chain_rows", [4_000_000, 60])
+def test_time_windows_match_simulator_out_of_order(spark, monkeypatch, chain_rows):
+    from tributary.operators import fold
+
+    monkeypatch.setattr(fold, "CHAIN_ROWS", chain_rows)
+    rng = random.Random(11)
+    for _ in range(2):
+        t, data = 0.0, []
+        for i in range(300):
+            t += rng.choice([0.1, 1.0, 30.0, -15.0])
+            data.append((t, f"k{i % 3}"))
+        want, opened, group = [], None, []
+        for i, (x, _) in enumerate(data, 1):
+            opened = x if opened is None else opened
+            group.append(i)
+            if x - opened >= 10:
+                want.append(group)
+                opened, group = None, []
+        want += [group] if group else []
+        df = finite(spark, data, "t double, key string")
+        got = acc.in_periods(df, "_seq", "t", 10)
+        assert sorted((r["_seq"], r["_period"]) for r in got.collect()) == sorted((i, g[0]) for g in want for i in g)
+        spans = [(r["_first"], r["_last"]) for r in acc.periods(df, "_seq", "t", 10).collect()]
+        assert sorted(spans) == sorted((g[0], g[-1] if n < len(want) - 1 or data[g[-1] - 1][0] - data[g[0] - 1][0] >= 10 else None) for n, g in enumerate(want))
+
+
+def test_ordered_folds_keep_large_numbers_and_nulls(spark):
+    big = 2**53
+    df = finite(spark, [(None, 1), (big, 2), (big + 1, None), (None, 3), (big, 4)], "k long, v long")
+    out = acc.custom(df, lambda: None, lambda s, r: (r["k"], [*(s[1] if s else []), r["v"]]), lambda s: [{"k": s[0], "vs": s[1]}], "k long, vs array<long>", keys=["k"])
+    assert sorted(((r["k"] or 0), r["vs"]) for r in out.collect()) == [(0, [1, 3]), (big, [2, 4]), (big + 1, [None])]
+    whole = acc.custom(df, lambda: [], lambda s, r: [*s, r["k"]], lambda s: [{"ks": s}], "ks array<long>")
+    assert whole.first()["ks"] == [None, big, big + 1, None, big]
+
+
+def test_global_folds_hand_their_state_on(spark, monkeypatch):
+    from tributary.operators import fold
+
+    rng = random.Random(12)
+    data = [(f"k{rng.randrange(9)}", float(rng.randrange(50))) for _ in range(500)]
+    want = simulate_top_n(data, 4)
+    monkeypatch.setattr(fold, "CHAIN_ROWS", 50)
+    out = acc.top_n(4, "key", "value").apply(rows(spark, data).repartition(7)).first()
+    assert [(x["key"], x["score"]) for x in out["top_n"]] == want
+    every = acc.custom(rows(spark, data).repartition(7), lambda: 0, lambda s, r: s + 1, lambda s: [{"n": s}], "n long", EveryN(100))
+    assert sorted(r["n"] for r in every.collect()) == [100, 200, 300, 400, 500, 500]

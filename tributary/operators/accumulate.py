@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,9 @@ from pyspark.sql.window import Window
 from ..errors import ok_rows
 from ..order import as_columns, number_rows
 from ..order import seconds as time_seconds
+from ..storage import materialise
 from .emission import EmitAlways, Emission, EveryN, OnEof, TimeWindow
-from .fold import ordered_fold
+from .fold import global_fold, ordered_fold, range_parts
 
 Order = str | Sequence[str]
 
@@ -82,45 +84,77 @@ class _WithEmission:
         return self.with_emission(EmitAlways())
 
 
+def _period_step(seconds: float) -> Callable:
+    """Periods of a batch of (o, t) in order, found by numpy: state is (order value, time) of the open period's first row, or None."""
+
+    def step(state, batch):
+        t, o, out, at = batch.column("t").to_numpy(zero_copy_only=False), batch.column("o"), [], 0
+        reach = 64
+        while at < len(t):
+            if state is None:
+                state = (o[at].as_py(), float(t[at]))
+            # The closing row is looked for in growing steps: a period costs its own length.
+            end = min(len(t), at + reach)
+            hit = np.flatnonzero(t[at:end] - state[1] >= seconds)
+            if len(hit):
+                at += int(hit[0])
+                out.append({"_first": state[0], "_last": o[at].as_py(), "_open": state[1], "_closed": True})
+                state, reach = None, 64
+                at += 1
+            else:
+                at, reach = end, reach * 2
+        return state, out
+
+    return step
+
+
+def _periods(parts: DataFrame, seconds: float) -> DataFrame:
+    """Periods of parts (o, t and _p of range_parts)."""
+    kind = parts.schema["o"].dataType
+    schema = T.StructType([T.StructField("_first", kind), T.StructField("_last", kind), T.StructField("_open", T.DoubleType()), T.StructField("_closed", T.BooleanType())])
+
+    def finish(state):
+        return [] if state is None else [{"_first": state[0], "_last": None, "_open": state[1], "_closed": False}]
+
+    return global_fold(parts.select("o", "t", "_p"), "o", lambda: None, None, schema, finish, _period_step(seconds))
+
+
 def periods(df: DataFrame, order: Order, ts: str, seconds: float) -> DataFrame:
     """_first, _last (order values), _open (seconds of the first row), _closed of each anchored period.
 
-    Where a period ends decides where the next begins, so one task streams the two columns it needs; it holds
-    three numbers. Only that decision is sequential: rows are aggregated in parallel.
+    Where a period ends decides where the next begins, so the two columns that decide it are read range by range, in numpy batches.
+    Only that decision is sequential: rows are aggregated in parallel.
     """
+    return _periods(range_parts(df.select(F.col(_one_order(order)).alias("o"), time_seconds(df, ts).alias("t")), "o", "times"), seconds)
+
+
+def _one_order(order: Order) -> str:
     by = [order] if isinstance(order, str) else list(order)
     if len(by) != 1:
         raise ValueError("time windows take one unique order column")
-    kind = df.schema[by[0]].dataType
-    narrow = df.select(F.col(by[0]).alias("o"), time_seconds(df, ts).alias("t"))
-    schema = T.StructType([T.StructField("_first", kind), T.StructField("_last", kind), T.StructField("_open", T.DoubleType()), T.StructField("_closed", T.BooleanType())])
-
-    def step(state, row):
-        first, opened = state or (row["o"], row["t"])
-        if row["t"] - opened >= seconds:
-            return None, [{"_first": first, "_last": row["o"], "_open": opened, "_closed": True}]
-        return (first, opened), []
-
-    def finish(state):
-        return [] if state is None else [{"_first": state[0], "_last": None, "_open": state[1], "_closed": False}]
-
-    return ordered_fold(narrow, [], "o", lambda: None, step, schema, finish)
+    return by[0]
 
 
 def in_periods(df: DataFrame, order: str, ts: str, seconds: float) -> DataFrame:
     """df with _period: the order value of its period's first row.
 
-    Rows meet their period by equality, not by a range over everything: a period's rows lie in the time bucket
-    (of width `seconds`) it opens in or in the next, but for the row that closes it, whose order value is known.
+    A row belongs to the last period that began at or before it in the order, whatever its timestamp. Rows lie in ranges of the order, so within a range
+    that is a window over its rows and the period starts in it, and what is open where a range begins is known from the starts of the ranges before.
     """
-    found = periods(df, order, ts, seconds)
-    bucket = F.floor(F.col("_open") / seconds)
-    spans = found.select(F.col("_first"), F.col("_last"), F.explode(F.array(bucket, bucket + 1)).alias("_bucket"))
-    rows = df.withColumn("_b", F.floor(time_seconds(df, ts) / seconds))
-    inside = rows.join(spans, (F.col("_b") == F.col("_bucket")) & (F.col(order) >= F.col("_first")) & (F.col("_last").isNull() | (F.col(order) < F.col("_last"))))
-    closing = rows.join(found.filter("_closed").select("_first", "_last"), F.col(order) == F.col("_last"))
-    keep = [*df.columns, F.col("_first").alias("_period")]
-    return inside.select(*keep).unionByName(closing.select(*keep))
+    order = _one_order(order)
+    parts = range_parts(df.withColumn("_t", time_seconds(df, ts)), order, "rows")
+    starts = materialise(_periods(parts.select(F.col(order).alias("o"), F.col("_t").alias("t"), "_p"), seconds).select(F.col("_first").alias("_s")), "periods")
+    edges = parts.groupBy("_p").agg(F.min(order).alias("_low"), F.max(order).alias("_high"))  # a row a range
+    placed = starts.join(F.broadcast(edges), F.col("_s").between(F.col("_low"), F.col("_high"))).select("_p", "_s")
+    latest = edges.join(placed.groupBy("_p").agg(F.max("_s").alias("_m")), "_p", "left")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = latest.select("_p", F.max("_m").over(before).alias("_open"))
+    rows = parts.select("_p", F.col(order).alias("_o"), F.lit(1).alias("_side"), F.lit(None).cast(starts.schema["_s"].dataType).alias("_s"), F.struct(*df.columns).alias("_row"))
+    marks = placed.select("_p", F.col("_s").alias("_o"), F.lit(0).alias("_side"), "_s", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    seen = Window.partitionBy("_p").orderBy("_o", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.unionByName(marks).withColumn("_s", F.last("_s", ignorenulls=True).over(seen)).filter("_side = 1")
+    out = found.join(F.broadcast(carried), "_p")
+    return out.select(*(F.col("_row")[c].alias(c) for c in df.columns), F.coalesce("_s", "_open").alias("_period"))
 
 
 @dataclass(frozen=True)
