@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from ..errors import KIND, error_rows, ok_rows
 from ..order import as_columns
+from ..storage import materialise
 
 Keys = str | Sequence[str]
 Exprs = Mapping[str, Column | str]
@@ -32,10 +33,15 @@ def _names(keys: Keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def latest(reference: DataFrame, keys: Keys, order: str | Sequence[str | Column]) -> DataFrame:
-    """The last row of each key in the given order; null keys have none."""
+def latest(reference: DataFrame, keys: Keys, order: str | Sequence[str | Column], unique_key: bool = False) -> DataFrame:
+    """The last row of each key in the given order; null keys have none.
+
+    unique_key: the caller vouches that a key has one row at most (a table's primary key), so nothing has to be aggregated or sorted.
+    """
     names = _names(keys)
     rows = ok_rows(reference).filter(" AND ".join(f"`{k}` IS NOT NULL" for k in names))
+    if unique_key:
+        return rows
     last = F.max_by(F.struct(*(F.col(c) for c in reference.columns)), F.struct(*as_columns(order))).alias("_last")
     return rows.groupBy(*names).agg(last).select(*(F.col(f"_last.{c}").alias(c) for c in reference.columns))
 
@@ -73,22 +79,22 @@ def _project(joined: DataFrame, stream: DataFrame, exprs: Exprs | None) -> DataF
     return joined.select(*((F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in exprs.items()), *envelope)
 
 
-def _finite(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order, how: str) -> DataFrame:
+def _finite(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order, how: str, unique_key: bool = False) -> DataFrame:
     rk, sk = _names(ref_key), _names(stream_key)
     if len(rk) != len(sk):
         raise ValueError("both sides need the same number of key columns")
-    catalogue = _side(latest(reference, rk, ref_order), rk, stream.columns, "ref")
+    catalogue = _side(latest(reference, rk, ref_order, unique_key), rk, stream.columns, "ref")
     return _side(ok_rows(stream), sk, reference.columns, "stream").join(catalogue, _match("stream", "ref", len(rk)), how)
 
 
-def inner(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order, exprs: Exprs | None = None) -> DataFrame:
-    """One row per stream row with a match."""
-    return _project(_finite(reference, stream, ref_key, stream_key, ref_order, "inner"), stream, exprs)
+def inner(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order, exprs: Exprs | None = None, unique_key: bool = False) -> DataFrame:
+    """One row per stream row with a match. unique_key: see latest."""
+    return _project(_finite(reference, stream, ref_key, stream_key, ref_order, "inner", unique_key), stream, exprs)
 
 
-def left(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order, exprs: Exprs | None = None) -> DataFrame:
-    """One row per stream row; ref is null without a match."""
-    return _project(_finite(reference, stream, ref_key, stream_key, ref_order, "left"), stream, exprs)
+def left(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order, exprs: Exprs | None = None, unique_key: bool = False) -> DataFrame:
+    """One row per stream row; ref is null without a match. unique_key: see latest."""
+    return _project(_finite(reference, stream, ref_key, stream_key, ref_order, "left", unique_key), stream, exprs)
 
 
 def _cut(joined: DataFrame, stream: DataFrame, stream_order, exprs: Exprs | None, raising: bool) -> Joined:
@@ -103,9 +109,9 @@ def _cut(joined: DataFrame, stream: DataFrame, stream_order, exprs: Exprs | None
     return Joined(_project(kept.filter(F.col("_cut").isNull() | (F.col("_at") < F.col("_cut"))), stream, exprs), misses)
 
 
-def strict(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order, stream_order: Keys, exprs: Exprs | None = None, mode: str = "cut") -> Joined:
-    """inner up to the first stream row without a match (mode cut), or an error at it (mode raise)."""
-    return _cut(_finite(reference, stream, ref_key, stream_key, ref_order, "left"), stream, stream_order, exprs, mode == "raise")
+def strict(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order, stream_order: Keys, exprs: Exprs | None = None, mode: str = "cut", unique_key: bool = False) -> Joined:
+    """inner up to the first stream row without a match (mode cut), or an error at it (mode raise). unique_key: see latest."""
+    return _cut(_finite(reference, stream, ref_key, stream_key, ref_order, "left", unique_key), stream, stream_order, exprs, mode == "raise")
 
 
 def _as_of(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order: Keys, stream_order: Keys) -> DataFrame:
@@ -142,20 +148,21 @@ def strict_live(reference, stream, ref_key: Keys, stream_key: Keys, ref_order: K
     return _cut(_as_of(reference, stream, ref_key, stream_key, ref_order, stream_order), stream, stream_order, exprs, mode == "raise")
 
 
-def multi_key(reference: DataFrame, stream: DataFrame, ref_key: str, stream_keys: str, ref_order, stream_id: Keys, name: str = "refs", admit: Column | str | None = None) -> DataFrame:
+def multi_key(reference: DataFrame, stream: DataFrame, ref_key: str, stream_keys: str, ref_order, stream_id: Keys | None = None, name: str = "refs", admit: Column | str | None = None) -> DataFrame:
     """Custom join: a stream row selects several catalogue keys (an array column) and gets an array of matches.
 
     admit filters what enters the catalogue. Keys are exploded, joined and gathered again per stream row, in
-    the order of the array; keys without a match are left out.
+    the order of the array; keys without a match are left out. stream_id: columns that are unique in the stream and not null; without any the
+    stream is written once with a number for each row.
     """
     admitted = reference if admit is None else reference.filter(admit)
     catalogue = _side(latest(admitted, ref_key, ref_order), [ref_key], stream.columns, "ref")
-    ids = _names(stream_id)
-    asked = stream.select(*ids, F.posexplode(stream_keys).alias("_pos", "_stream_k0"))
+    ids, rows = (_names(stream_id), stream) if stream_id else (["_row"], materialise(stream.withColumn("_row", F.monotonically_increasing_id()), "stream"))
+    asked = rows.select(*ids, F.posexplode(stream_keys).alias("_pos", "_stream_k0"))
     found = asked.join(catalogue, _match("stream", "ref", 1)).groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_pos", "ref"))).alias("_found"))
     empty = F.array().cast(T.ArrayType(T.StructType(reference.schema.fields)))
     refs = F.coalesce(F.transform("_found", lambda x: x["ref"]), empty).alias(name)
-    return stream.join(found, ids, "left").select(*(stream[c] for c in stream.columns), refs)
+    return rows.join(found, ids, "left").select(*(rows[c] for c in stream.columns), refs)
 
 
 def passing_errors(joined: DataFrame, *inputs: DataFrame) -> DataFrame:
@@ -206,8 +213,8 @@ class JoinBuilder:
         return globals()[f"{self.kind}_live" if self._live else self.kind](**args)
 
 
-def chain(stream: DataFrame, *steps: tuple[DataFrame, str, str, str]) -> DataFrame:
-    """Left-deep enrichment: each step is (reference, reference key, stream key, reference order)."""
+def chain(stream: DataFrame, *steps: tuple[DataFrame, str, str, str], unique_keys: bool = False) -> DataFrame:
+    """Left-deep enrichment: each step is (reference, reference key, stream key, reference order). unique_keys: see latest."""
     for reference, ref_key, stream_key, ref_order in steps:
-        stream = inner(reference, stream, ref_key, stream_key, ref_order)
+        stream = inner(reference, stream, ref_key, stream_key, ref_order, unique_key=unique_keys)
     return stream

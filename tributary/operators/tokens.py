@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Lanes, marked, route
+from ..storage import materialise
 from .fold import ordered_fold
 
 #: Fixed values of the chat estimate: tokens a message, a request, and for JSON output.
@@ -126,53 +127,78 @@ class ChunkPolicy:
             raise ValueError("oversize is error or rerender; exhausted is fail or exclude")
 
 
-def plan_chunks(items: Sequence[object], render: Callable[[object, int], str], budget: int, max_items: int | None = None, policy: ChunkPolicy = ChunkPolicy(), estimate: Callable[[str], int] | None = None) -> tuple[list[dict], list[dict]]:
-    """Chunks of one seed's items, and what was excluded with its reason.
+class ChunkPlanner:
+    """Chunks of one seed's items, item by item: greedy and in order; a change of depth or max_items closes a chunk.
 
-    Greedy and in order; a change of depth or max_items closes a chunk. Estimates are remembered by rendered text.
+    Holds the open chunk and what was excluded since the last one closed.
     """
-    if budget <= 0 or (max_items is not None and max_items <= 0):
-        raise ValueError("budget and max_items must be positive")
-    estimate = estimate or HeuristicEstimator().of
-    known: dict[str, int] = {}
-
-    def sized(item: object, depth: int) -> tuple[str, int]:
-        text = render(item, depth)
-        if text not in known:
-            known[text] = estimate(text)
-        return text, known[text]
-
-    chunks: list[dict] = []
-    excluded: list[dict] = []
-    open_: dict | None = None
-    for ordinal, item in enumerate(items):
-        depth, reason = 0, None
-        text, size = sized(item, depth)
-        while size > budget and reason is None:
-            if policy.oversize == "error":
-                raise ValueError(f"item {ordinal} takes {size} tokens of {budget}")
-            if depth >= policy.max_depth:
-                reason = "MaxDepthExceeded"
-                break
-            new_text, new_size = sized(item, depth + 1)
-            if size - new_size < policy.min_progress:
-                reason = "NoProgress"
-                break
+
+    def __init__(self, render: Callable[[object, int], str], budget: int, max_items: int | None = None, policy: ChunkPolicy = ChunkPolicy(), estimate: Callable[[str], int] | None = None):
+        if budget <= 0 or (max_items is not None and max_items <= 0):
+            raise ValueError("budget and max_items must be positive")
+        self.render, self.budget, self.max_items, self.policy = render, budget, max_items, policy
+        self.estimate = estimate or HeuristicEstimator().of
+        self.items = self.closed = 0
+        self.open: dict | None = None
+        self.excluded: list[dict] = []
+
+    def _sized(self, item: object, depth: int) -> tuple[str, int]:
+        text = self.render(item, depth)
+        return text, self.estimate(text)
+
+    def _fitted(self, item: object) -> tuple[int, str, int] | str:
+        """Depth, text and size of an item at the first depth that fits, or why there is none."""
+        depth = 0
+        text, size = self._sized(item, 0)
+        while size > self.budget:
+            if self.policy.oversize == "error":
+                raise ValueError(f"item {self.items} takes {size} tokens of {self.budget}")
+            if depth >= self.policy.max_depth:
+                return "MaxDepthExceeded"
+            new_text, new_size = self._sized(item, depth + 1)
+            if size - new_size < self.policy.min_progress:
+                return "NoProgress"
             depth, text, size = depth + 1, new_text, new_size
-        if reason:
-            if policy.exhausted == "fail":
-                raise ValueError(f"item {ordinal}: {reason}")
-            excluded.append({"ordinal": ordinal, "reason": reason})
-            continue
-        if open_ is None or open_["depth"] != depth or open_["estimated_tokens"] + size > budget or (max_items and len(open_["item_ordinals"]) >= max_items):
-            open_ = {"chunk_index": len(chunks), "estimated_tokens": 0, "depth": depth, "item_ordinals": [], "rendered_items": []}
-            chunks.append(open_)
-        open_["estimated_tokens"] += size
-        open_["item_ordinals"].append(ordinal)
-        open_["rendered_items"].append(text)
-    for chunk in chunks:
-        chunk["chunk_count"] = len(chunks)
-    return chunks, excluded
+        return depth, text, size
+
+    def _close(self) -> list[dict]:
+        if self.open is None:
+            return []
+        done, self.open = {**self.open, "excluded": self.excluded}, None
+        self.excluded = []
+        self.closed += 1
+        return [done]
+
+    def add(self, item: object) -> list[dict]:
+        """The chunk that this item closes, if any."""
+        fitted = self._fitted(item)
+        if isinstance(fitted, str):
+            if self.policy.exhausted == "fail":
+                raise ValueError(f"item {self.items}: {fitted}")
+            self.excluded.append({"ordinal": self.items, "reason": fitted})
+            self.items += 1
+            return []
+        depth, text, size = fitted
+        now, done = self.open, []
+        if now is None or now["depth"] != depth or now["estimated_tokens"] + size > self.budget or (self.max_items and len(now["item_ordinals"]) >= self.max_items):
+            done = self._close()
+            self.open = {"chunk_index": self.closed, "estimated_tokens": 0, "depth": depth, "item_ordinals": [], "rendered_items": []}
+        self.open["estimated_tokens"] += size
+        self.open["item_ordinals"].append(self.items)
+        self.open["rendered_items"].append(text)
+        self.items += 1
+        return done
+
+    def finish(self) -> list[dict]:
+        return self._close()
+
+
+def plan_chunks(items: Sequence[object], render: Callable[[object, int], str], budget: int, max_items: int | None = None, policy: ChunkPolicy = ChunkPolicy(), estimate: Callable[[str], int] | None = None) -> tuple[list[dict], list[dict]]:
+    """Chunks of one seed's items, and what was excluded with its reason. ChunkPlanner is the same item by item."""
+    planner = ChunkPlanner(render, budget, max_items, policy, estimate)
+    chunks = [c for item in items for c in planner.add(item)] + planner.finish()
+    excluded = sorted([e for c in chunks for e in c.pop("excluded")] + planner.excluded, key=lambda e: e["ordinal"])
+    return [{**c, "chunk_count": len(chunks)} for c in chunks], excluded
 
 
 def pieces(text: str | None, budget: int, bytes_per_token: float = 4.0) -> list[str]:
@@ -208,32 +234,40 @@ CHUNK = T.StructType(
 
 
 def chunk_by_budget(df: DataFrame, keys: Sequence[str], order: str, item: str, render: Callable[[object, int], str], budget: int, max_items: int | None = None, policy: ChunkPolicy = ChunkPolicy(), bytes_per_token: float = 4.0) -> DataFrame:
-    """keys and chunk columns: the chunks of each seed (group). A seed's items meet in one task, as chunk_count needs."""
-    schema = T.StructType([*(df.schema[k] for k in keys), *CHUNK.fields])
+    """keys and chunk columns: the chunks of each seed (group); excluded holds the items left out since the chunk before, as JSON.
+
+    A seed's items stream through one task in order, which holds the open chunk only. The written chunks are counted per seed for chunk_count. Items excluded
+    after a seed's last chunk come in a row of their own, with a null chunk_index, so that none goes unseen.
+    """
+    kind = T.StructType([*(df.schema[k] for k in keys), *(f for f in CHUNK.fields if f.name != "chunk_count")])
     estimate = HeuristicEstimator(bytes_per_token).of
 
-    def initial():
-        return None
+    def shown(state, chunks):
+        return [{**state[0], **c, "excluded": json.dumps(c["excluded"])} for c in chunks]
 
     def step(state, row):
-        state = state or ({k: row[k] for k in keys}, [])
-        state[1].append(row[item])
-        return state, []
+        state = state or ({k: row[k] for k in keys}, ChunkPlanner(render, budget, max_items, policy, estimate))
+        return state, shown(state, state[1].add(row[item]))
 
     def finish(state):
         if state is None:
-            return
-        chunks, excluded = plan_chunks(state[1], render, budget, max_items, policy, estimate)
-        for chunk in chunks:
-            yield {**state[0], **chunk, "excluded": json.dumps(excluded)}
+            return []
+        rest = shown(state, state[1].finish())
+        return rest + ([{**state[0], "excluded": json.dumps(state[1].excluded)}] if state[1].excluded else [])
 
-    return ordered_fold(df.select(*keys, *({order, item} - set(keys))), keys, order, initial, step, schema, finish)
+    chunks = materialise(ordered_fold(df.select(*keys, *({order, item} - set(keys))), keys, order, lambda: None, step, kind, finish), "chunks")
+    counted = chunks.groupBy(*keys).agg(F.count("chunk_index").alias("chunk_count")).select(*(F.col(k).alias(f"_{k}") for k in keys), "chunk_count")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return chunks.join(counted, same).select(*keys, *CHUNK.names)
 
 
 def collect_by_input(manifests: DataFrame, partials: DataFrame, job: str, index: str, value: str, status: str = "status") -> DataFrame:
     """Map-reduce collector: manifests(job, chunk_count), partials(job, index, value, status ok or failed).
 
-    One row per job: values in the order of their chunks whatever order they came in, or failed with the failed indices.
+    One row per job: values in the order of their chunks whatever order they came in, or failed with the failed indices. A job's values are one
+    array, so together they must fit in a row (2 GB) and, with a few copies, in a task's memory.
     Exact duplicates count once; two different results for one chunk are a conflict, too few a job
     left unfinished: both raise when read, as neither has a right result.
     """
@@ -291,7 +325,7 @@ def embed(df: DataFrame, text: str, provider: Callable[[Iterable[str]], Iterable
 
 def map_reduce(df: DataFrame, keys: str, order: str, item: str, render: Callable[[object, int], str], budget: int, map_provider: Provider, reduce_provider: Provider, **chunking) -> DataFrame:
     """Chunk, map each chunk, collect in chunk order, finalise: keys, status, values, failed_indices, result."""
-    chunks = chunk_by_budget(df, [keys], order, item, render, budget, **chunking)
+    chunks = chunk_by_budget(df, [keys], order, item, render, budget, **chunking).filter("chunk_index is not null")
     prompts = chunks.select(keys, "chunk_index", "chunk_count", F.array_join("rendered_items", "\n").alias("prompt"))
     mapped = perform(prompts, "prompt", map_provider)
     partials = mapped.select(keys, "chunk_index", F.col("reply").alias("value"), F.when(F.col("_error_kind").isNull(), "ok").otherwise("failed").alias("status"))

@@ -49,11 +49,25 @@ def canonical_fan_in(inputs: dict[str, DataFrame], order: Sequence[str] | str, n
     """Deterministic merge of inputs of one schema: by each row's number within its input, then by input name.
 
     That is what waiting for a head of every live input and taking the smallest (ordinal, input) gives;
-    inputs that have ended simply run out. Adds _input and name.
+    inputs that have ended simply run out. Adds _input and name. One numbering over (input, order) gives the ordinals, and the lengths of
+    the inputs the rest: before row k of an input come min(length, k - 1) rows of each, and the k-th rows of those earlier by name.
     """
-    parts = [number_rows(df, order, "_ordinal").withColumn("_input", F.lit(key)) for key, df in sorted(inputs.items())]
-    merged = reduce(DataFrame.unionByName, parts)
-    return number_rows(merged, ["_ordinal", "_input"], name).drop("_ordinal")
+    names = sorted(inputs)
+    order = [order] if isinstance(order, str | Column) else list(order)
+    tagged = reduce(DataFrame.unionByName, [inputs[key].withColumn("_input", F.lit(key)) for key in names])
+    numbered = number_rows(tagged, ["_input", *order], "_ordinal")
+    length = {r["_input"]: r["count"] for r in numbered.groupBy("_input").count().collect()}  # a row an input
+    number, before = F.lit(None).cast("long"), 0
+    for i, key in enumerate(names):
+        nth = F.col("_ordinal") - before
+        place = nth - nth + 1
+        for j, other in enumerate(names):
+            place = place + F.least(F.lit(length.get(other, 0)), nth - 1)
+            if j < i:
+                place = place + (nth <= length.get(other, 0)).cast("long")
+        number = F.when(F.col("_input") == key, place).otherwise(number)
+        before += length.get(key, 0)
+    return numbered.withColumn(name, number.cast("long")).drop("_ordinal")
 
 
 def unordered_fan_in(*inputs: DataFrame) -> DataFrame:

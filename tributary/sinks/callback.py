@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..operators.fold import arrow_rows, arrow_schema, struct_type
+
 RECEIPT = "_seq long, status string, method string, bytes long, items long, error string"
 
 
@@ -39,19 +41,21 @@ def deliver(df: DataFrame, function: Callable[[dict], object], method: str = "ca
     The function runs again if a task is retried: it must be safe to repeat. Write the receipts once, then read those.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    arrow = arrow_schema(struct_type(RECEIPT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for row in frame.to_dict("records"):
+            for row in batch.to_pylist():
                 error = None
                 try:
                     function(row)
                 except Exception as e:
                     error = str(e)
                 out.append({"_seq": row[seq], "status": "failed" if error else "success", "method": method, "bytes": len(str(row)), "items": 0 if error else 1, "error": error})
-            yield pd.DataFrame(out, columns=["_seq", "status", "method", "bytes", "items", "error"])
+            yield arrow_rows(out, arrow)
 
-    return df.mapInPandas(run, RECEIPT)
+    return df.mapInArrow(run, RECEIPT)
 
 
 def receipt_totals(receipts: DataFrame) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import asyncio
 from collections.abc import Awaitable, Callable, Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Lanes, route
+from ..operators.fold import arrow_rows, arrow_schema
 
 Schema = T.StructType | str
 
@@ -58,13 +60,16 @@ def produced(spark: SparkSession, parts: int, produce: Callable[[int], Iterable[
     kind = _type(schema)
     full = T.StructType([*kind.fields, T.StructField("_seq", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = arrow_schema(full)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batch["id"]:
-                rows = [{**r, "_seq": (int(part) << 40) + i} for i, r in enumerate(produce(int(part)))]
-                yield pd.DataFrame(rows, columns=full.names)
+            for part in batch.column(0).to_pylist():
+                rows = ({**r, "_seq": (part << 40) + i} for i, r in enumerate(produce(part)))
+                while some := list(islice(rows, 10_000)):
+                    yield arrow_rows(some, arrow)
 
-    return spark.range(0, parts, 1, parts).mapInPandas(run, full)
+    return spark.range(0, parts, 1, parts).mapInArrow(run, full)
 
 
 def async_finite(spark: SparkSession, batch: Callable[[int], Awaitable[list | None]], schema: Schema) -> DataFrame:
