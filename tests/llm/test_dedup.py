@@ -151,3 +151,87 @@ def test_a_document_counts_once_in_a_template(spark, documents):
     line = "thank you for reading dear {} and do come back to us again soon"
     rows = [(1, "\n".join(line.format(n) for n in names[:2])), (2, "\n".join(line.format(n) for n in names[2:]))]
     assert [r["n_dropped"] for r in lines.dedup_lines(documents(*rows), report=True).collect()] == [0, 0]
+
+
+def test_near_duplicates_match_brute_force_end_to_end(spark, documents):
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        words = [rng.choice(["a", "b", "c", "d", "e"]) + str(rng.randrange(40)) for _ in range(rng.choice([0, 1, 3, 60, 200]))]
+        rows.append(" ".join(words))
+        for _ in range(rng.randrange(3)):
+            near = list(words)
+            if near:
+                near[rng.randrange(len(near))] = "x"
+            rows.append(" ".join(near).upper() if rng.random() < 0.3 else " ".join(near))
+    rows += [None, ""]
+    ids = list(range(len(rows)))
+    rng.shuffle(ids)
+    out = {r["doc_id"]: r for r in sim.near_duplicates(documents(*zip(ids, rows, strict=True))).collect()}
+    fps = [brute_fingerprint(t) for t in rows]
+    assert [out[i]["fingerprint"] for i in ids] == [f"{f:016x}" for f in fps]
+    assert [out[i]["component_id"] for i in ids] == components_by_force(fps, ids)
+
+
+def test_sub_runs_of_hot_keys_lose_no_link(spark, monkeypatch):
+    rng = random.Random(12)
+    base = rng.getrandbits(64)
+    fps = [(base & ((1 << 22) - 1)) | rng.getrandbits(42) << 22 for _ in range(1500)]  # all share the first segment
+    for at in fps[:200]:
+        for _ in range(2):
+            fps.append(at ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))))
+    frame = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
+    want = components_by_force(fps, list(range(len(fps))))
+    for rows in (sim.HOT_ROWS, 4):
+        monkeypatch.setattr(sim, "HOT_ROWS", rows)
+        assert rows != 4 or len(sim._hot_keys(frame.select("fp").distinct())) >= 22
+        out = {r["doc_id"]: r["component_id"] for r in sim.simhash_components(frame).collect()}
+        assert [out[i] for i in range(len(fps))] == want
+
+
+def test_similar_groups_match_brute_force(spark, documents):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([2, 30, 120]))]
+        rows.append(" ".join(words))
+        for share in (0.01, 0.03, 0.2):
+            rows.append(" ".join("q" if rng.random() < share else w for w in words))
+    prints = [sim.fingerprint(t, sim.WIDE_SHINGLE, more=sim.WIDE_WORDS - 1) for t in rows]
+    parts = [64 * w + sim.WIDE_SEGMENT * s for w in (0, 1) for s in range(3)]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(prints):
+        for j in range(i):
+            d = x ^ prints[j]
+            if d.bit_count() <= sim.WIDE_DISTANCE and (d & (2**128 - 1)).bit_count() <= sim.MEETING and min((d >> a & ((1 << sim.WIDE_SEGMENT) - 1)).bit_count() for a in parts) <= 1:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    out = {r["doc_id"]: r["component_id"] for r in sim.similar_groups(documents(*enumerate(rows))).collect()}
+    assert [out[i] for i in range(len(rows))] == [find(i) for i in range(len(rows))]
+    assert sim.WIDE_DISTANCE == 77
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_are_found_and_others_left(spark, documents):
+    rng = random.Random(14)
+    rows = []
+    for i in range(240):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        rows += [" ".join(words), " ".join("q" if rng.random() < (0.01, 0.02, 0.06)[i % 3] else w for w in words)]
+    out = {r["doc_id"]: r["component_id"] for r in sim.similar_groups(documents(*enumerate(rows))).collect()}
+    found = {"near": [], "far": []}
+    for i in range(0, len(rows), 2):
+        j = jaccard(rows[i], rows[i + 1])
+        if j >= 0.85 or j < 0.65:
+            found["near" if j >= 0.85 else "far"].append(out[i] == out[i + 1])
+    assert sum(found["near"]) >= 0.85 * len(found["near"]) > 60 and sum(found["far"]) <= 0.02 * len(found["far"]) and len(found["far"]) > 60
+    assert sum(len({out[i], out[j]}) == 1 for i in range(0, 480, 2) for j in range(0, i, 2)) == 0

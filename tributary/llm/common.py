@@ -1,61 +1,25 @@
-"""Helpers that the corpus operators share: table access and durable intermediate tables."""
+"""Helpers that the corpus operators share: table access, expressions, and the library's durable intermediate tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialise, scope
+
+__all__ = ["LOWER", "UPPER", "WORD", "discard", "let", "lower_ascii", "materialise", "scope", "table", "word_count"]
+
 #: ASCII letters, for the lower-casing that touches A-Z only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a maximal run of characters other than space and U+0009-U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_scratch: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            base = tempfile.mkdtemp(prefix="tributary-")
-            spark.sparkContext.setCheckpointDir(base)
-        _scratch[app] = f"{base.rstrip('/')}/tributary-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _scratch[app])
-    return _scratch[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is gone already: the folder's owner clears it
-        pass
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends in files every executor sees.
-
-    A lost executor costs only the tasks it ran; what follows restarts from these files. The rows are
-    fixed from here on, so numbers such as monotonically_increasing_id() stay what they are.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII strings take the engine's fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

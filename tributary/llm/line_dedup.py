@@ -103,10 +103,11 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = materialise(members, "members")
 
     # Lines that may have wildcards: which of their tokens recur at their place in the leaf.
-    varying = kept.filter("_line is not null").select("_leaf", "_hash", "_line").dropDuplicates(["_leaf", "_hash"])
-    tokens = F.transform(F.split("_line", " ", -1), lambda t: F.when(t != WILD, F.xxhash64(t)))
-    placed = varying.join(members, ["_leaf", "_hash"]).select("_leaf", "_hash", "_docs", F.size(tokens).alias("_size"), F.posexplode(tokens).alias("_at", "_token"))
-    placed = materialise(placed.filter("_token is not null"), "placed")
+    varying = kept.filter("_line is not null").select("_leaf", "_hash", "_size", "_line").dropDuplicates(["_leaf", "_hash"])
+    tokens = F.split("_line", " ", -1)
+    placed = varying.join(members, ["_leaf", "_hash"]).select("_leaf", "_hash", "_docs", "_size", F.posexplode(tokens).alias("_at", "_word"))
+    placed = placed.filter(F.col("_word") != WILD).select("_leaf", "_hash", "_docs", "_size", "_at", F.xxhash64("_word").alias("_token"))
+    placed = materialise(placed, "placed")
     constant = placed.groupBy("_leaf", "_at", "_token").agg(F.sum("_docs").alias("_n")).filter(F.col("_n") >= MIN_DOCS).select("_leaf", "_at", "_token")
     held = placed.join(constant, ["_leaf", "_at", "_token"]).groupBy("_leaf", "_hash", "_size").agg(F.array_sort(F.collect_list(F.struct("_at", "_token"))).alias("_held"))
     general = held.filter(F.col("_size") - F.size("_held") <= _free(F.col("_size"))).select("_leaf", "_hash", F.xxhash64("_size", "_held").alias("_general"))

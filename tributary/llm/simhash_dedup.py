@@ -12,20 +12,29 @@ under one variant are an equality join, and every meeting is verified by popcoun
 
 The join is a sort of the variants within hash partitions followed by a scan of equal runs. The scan
 returns a spanning forest of each run's verified links instead of all of its pairs: linear output, the
-same components. Memory: 16 bytes for each row of a run. Runs hold distinct fingerprints only (copies
-have been folded before), so however many rows share one text, it counts once.
+same components. Memory: 24 bytes for each row of a run. Runs hold distinct fingerprints only (copies
+have been folded before), so however many rows share one text, it counts once. Keys that very many distinct fingerprints share are
+found beforehand in one in HOT_SHARE of the fingerprints (that only decides a route). Their rows are split further without loss: the bits outside the segment are cut into six
+parts, of which four differing bits leave two alike, so a row goes to 15 sub-runs, one for each pair of parts.
 
 Components come from alternating large-star and small-star rounds over the links, each written to the
-shared folder. Neither links nor labels are ever collected.
+shared folder; tables of past rounds are deleted. Neither links nor labels are ever collected.
+
+keep_one, for a pipeline, looks for more: five-word shingles and a similarity of SIMILARITY or more. There a fingerprint has 512 bits, which tell that
+similarity: a share of acos(2s / (1 + s)) / pi of the bits differs, WIDE_DISTANCE of them. The first 128 bits are cut into six segments of 20 bits (8 are not indexed), each indexed under its 20
+one-wildcard variants; two fingerprints are candidates when they meet under one and differ in at most MEETING of the 128 bits, and link when all 512 bits verify it. No number of
+segments could guarantee a meeting at that distance and stay selective, so this is a search with the chances that the README gives; what it links is verified.
 
 Defined results. Null text counts as empty. component_id is the smallest doc_id in the component; null
-doc_ids count only where a component has no other. Rows that repeat a doc_id each get a row. An empty
-table gives an empty result.
+doc_ids count only where a component has no other. Rows that repeat a doc_id each get a row. Texts of any length are read whole. Further columns are
+not read by near_duplicates and kept by keep_one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (first bit, bits) of each segment.
@@ -42,9 +51,17 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SUPPORT = 0.001
 #: Runs up to this many rows are compared pair by pair in one vectorised step.
 _SHORT = 8
+#: A key is hot, and its rows are split further, if so many of one in HOT_SHARE fingerprints have it.
+HOT_SHARE, HOT_ROWS = 64, 512
+#: For keep_one: words of a shingle, least similarity, 64-bit words of a fingerprint, bits of a segment, distance of candidates in the first two
+#: words, and that of the similarity in all.
+WIDE_SHINGLE, SIMILARITY, WIDE_WORDS, WIDE_SEGMENT, MEETING = 5, 0.8, 8, 20, 26
+WIDE_DISTANCE = math.floor(64 * WIDE_WORDS * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi)
+_MIX_1, _MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, more: int = 0) -> int:
+    """Bits of a text's shingles; `more` adds that many words of 64 bits, from further hashes of the shingles' hashes, above the first."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
@@ -55,11 +72,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     last = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
-        block = hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    out = 0
+    for word in range(1 + more):
+        counts = np.zeros(64, np.int64)
+        for i in range(0, n, 65536):
+            block = hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out |= int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]) << (64 * word)
+        hashes = (hashes + _MIX_1) * _MIX_2
+        hashes ^= hashes >> np.uint64(31)
+        hashes *= _MIX_1
+        hashes ^= hashes >> np.uint64(32)
+    return out
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,91 +97,166 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segment_of_bit() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By wildcard bit: its segment's first bit, the segment's mask without that bit, and the segment's number."""
     bit = np.arange(64, dtype=np.uint64)
-    low = np.array([next(a for a, n in SEGMENTS if a <= i < a + n) for i in range(64)], np.uint64)
-    mask = np.array([next((1 << n) - 1 for a, n in SEGMENTS if a <= i < a + n) for i in range(64)], np.uint64)
-    keep = mask & ~(np.uint64(1) << (bit - low))
+    of = np.array([next(s for s, (a, n) in enumerate(SEGMENTS) if a <= i < a + n) for i in range(64)])
+    low = np.array([SEGMENTS[s][0] for s in of], np.uint64)
+    mask = np.array([(1 << SEGMENTS[s][1]) - 1 for s in of], np.uint64)
+    return low, mask & ~(np.uint64(1) << (bit - low)), of
+
+
+def _keys(prints: np.ndarray) -> np.ndarray:
+    """The 64 one-wildcard keys of each fingerprint."""
+    low, keep, _ = _segment_of_bit()
+    return ((((prints[:, None] >> low) & keep) << np.uint64(6)) | np.arange(64, dtype=np.uint64)).view(np.int64)
+
+
+def _pairs_of_parts() -> list[list[np.uint64]]:
+    """By segment, masks of two of six parts of the bits outside it, in all 15 combinations."""
+    out = []
+    for a, n in SEGMENTS:
+        bits = [i for i in range(64) if not a <= i < a + n]
+        parts = [sum(1 << b for b in bits[j * len(bits) // 6 : (j + 1) * len(bits) // 6]) for j in range(6)]
+        out.append([np.uint64(x | y) for x, y in combinations(parts, 2)])
+    return out
+
+
+def _indexed(hot: np.ndarray):
+    """Index rows (key, sub, fp); sub is 0 but for the sub-runs of hot keys (sorted)."""
+
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, segment = _segment_of_bit()
+        masks = _pairs_of_parts()
+        for batch in batches:
+            prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in range(0, len(prints), 4096):
+                part = prints[i : i + 4096]
+                keys, fps = _keys(part).ravel(), np.repeat(part, 64)
+                crowded = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys if len(hot) else np.zeros(len(keys), bool)
+                found = [(keys[~crowded], np.zeros(int((~crowded).sum()), np.int64), fps[~crowded])]
+                of = segment[keys & 63]
+                for s, pairs in enumerate(masks):
+                    k, f = keys[crowded & (of == s)], fps[crowded & (of == s)]
+                    for j, m in enumerate(pairs):
+                        # The masked bits, with the pair's number where the segment's bits were cleared.
+                        found.append((k, ((f & m) | (np.uint64(j + 1) << np.uint64(SEGMENTS[s][0]))).view(np.int64), f))
+                k, sub, f = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sub), pa.array(f.view(np.int64))], ["key", "sub", "fp"])
+
+    return variants
+
+
+def _wide_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index rows (key, a, b) of two words: 20 variants of each of three segments of both."""
+    bit = np.arange(WIDE_SEGMENT, dtype=np.uint64)
+    keep = np.uint64((1 << WIDE_SEGMENT) - 1) & ~(np.uint64(1) << bit)
     for batch in batches:
-        prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for i in range(0, len(prints), 4096):
-            part = prints[i : i + 4096]
-            keys = ((((part[:, None] >> low) & keep) << np.uint64(6)) | bit).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(part, 64).view(np.int64))], ["key", "fp"])
+        words = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1)]
+        for i in range(0, batch.num_rows, 4096):
+            a, b = words[0][i : i + 4096], words[1][i : i + 4096]
+            keys = []
+            for s in range(6):
+                part = (a if s < 3 else b) >> np.uint64(WIDE_SEGMENT * (s % 3))
+                keys.append(((part[:, None] & keep) << np.uint64(8)) | (bit + np.uint64(s * WIDE_SEGMENT)))
+            k = np.concatenate(keys, axis=1)
+            n = k.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), *(pa.array(np.repeat(x, n).view(np.int64)) for x in (a, b))], ["key", "a", "b"])
+
+
+def _near(left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
+    return np.bitwise_count(left ^ right).sum(axis=-1) <= distance
 
 
 def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the graph that joins fps at that distance: breadth first over what is left unseen."""
-    left, parents, children = fps, [], []
+    """Spanning forest of the graph that joins fps (rows of words) at that distance, as places: breadth first over what is left unseen."""
+    left, parents, children = np.arange(len(fps)), [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             pivot = queue.pop()
-            near = np.bitwise_count(left ^ pivot) <= distance
+            near = _near(fps[left], fps[pivot], distance)
             if near.any():
                 found = left[near]
                 left = left[~near]
                 parents.append(np.full(len(found), pivot))
                 children.append(found)
                 queue.extend(found)
-    return (np.concatenate(parents), np.concatenate(children)) if parents else (fps[:0], fps[:0])
+    return (np.concatenate(parents), np.concatenate(children)) if parents else (left[:0], left[:0])
 
 
 def _run_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links within runs of equal keys; keys are sorted and runs are whole."""
-    edge = np.flatnonzero(np.diff(keys)) + 1
+    """Verified links within runs of equal keys (rows), as places; keys are sorted and runs are whole."""
+    edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
     start = np.concatenate(([0], edge))
     length = np.diff(np.concatenate((start, [len(keys)])))
-    of_row = np.repeat(length, length)
+    of_row, run = np.repeat(length, length), np.repeat(np.arange(len(start)), length)
     a, b = [], []
-    short = (of_row > 1) & (of_row <= _SHORT)
-    k, f = keys[short], fps[short]
+    short = np.flatnonzero((of_row > 1) & (of_row <= _SHORT))
     for step in range(1, _SHORT):
-        same = k[step:] == k[:-step]
+        left, right = short[:-step], short[step:]
+        same = run[left] == run[right]
         if not same.any():
             break
-        left, right = f[:-step][same], f[step:][same]
-        near = np.bitwise_count(left ^ right) <= distance
+        left, right = left[same], right[same]
+        near = _near(fps[left], fps[right], distance)
         a.append(left[near])
         b.append(right[near])
     for i in np.flatnonzero(length > _SHORT):
         x, y = _forest(fps[start[i] : start[i] + length[i]], distance)
-        a.append(x)
-        b.append(y)
-    return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scan sorted (key, fp) and give links (a, b); a run that spans batches is held until it ends."""
-
-    def out(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        a, b = _run_links(keys, fps, DISTANCE)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        if held and keys[0] == keys[-1] == held[-1][0][-1]:
-            held.append((keys, fps))
-            continue
-        cut = int(np.searchsorted(keys, keys[-1], side="left"))
-        whole = [*held, (keys[:cut], fps[:cut])]
-        if cut == 0:  # the batch is one run, and another than the held one
-            whole = held
-        held = [(keys[cut:], fps[cut:])]
-        if whole and sum(len(x) for x, _ in whole):
-            yield out(np.concatenate([x for x, _ in whole]), np.concatenate([x for _, x in whole]))
-    if held:
-        yield out(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        a.append(x + start[i])
+        b.append(y + start[i])
+    return (np.concatenate(a), np.concatenate(b)) if a else (start[:0], start[:0])
+
+
+def _linker(key_columns: list[str], columns: list[str], distance: int):
+    """Scan rows sorted by key and give links: the columns of both ends. A run that spans batches is held until it ends."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            keys, fps = (np.concatenate(c) for c in zip(*parts, strict=True))
+            x, y = _run_links(keys, fps, distance)
+            both = [fps[x, i] for i in range(len(columns))] + [fps[y, i] for i in range(len(columns))]
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in both], [f"x_{c}" for c in columns] + [f"y_{c}" for c in columns])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, fps = (np.stack([batch.column(c).to_numpy() for c in names], axis=1) for names in (key_columns, columns))
+            fps = fps.view(np.uint64)
+            changes = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = int(changes[-1]) + 1 if len(changes) else 0
+            if cut == 0 and held and (held[-1][0][-1] == keys[0]).all():
+                held.append((keys, fps))
+                continue
+            whole = [*held, (keys[:cut], fps[:cut])] if cut else held  # a batch of one run, and another than the held one
+            held = [(keys[cut:], fps[cut:])]
+            if whole:
+                yield out(whole)
+        if held:
+            yield out(held)
+
+    return linked
+
+
+def _hot_keys(distinct: DataFrame) -> np.ndarray:
+    """Keys that many distinct fingerprints share, by a sample of them: at most 64 / (HOT_SHARE * HOT_ROWS) as many as fingerprints."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)).ravel())], ["key"])
+
+    sample = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(HOT_SHARE)) == 0).select("fp").mapInArrow(keys, "key long")
+    found = sample.groupBy("key").count().filter(F.col("count") >= HOT_ROWS).select("key")
+    return np.array(sorted(r["key"] for r in found.collect()), np.int64)
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """distinct(fp) -> links (a, b) that give the components of all fingerprints within DISTANCE bits."""
-    index = distinct.select("fp").mapInArrow(_variants, "key long, fp long")
-    index = index.repartition("key").sortWithinPartitions("key", "fp")
-    return index.mapInArrow(_linked, "a long, b long")
+    index = distinct.select("fp").mapInArrow(_indexed(_hot_keys(distinct)), "key long, sub long, fp long")
+    index = index.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp")
+    return index.mapInArrow(_linker(["key", "sub"], ["fp"], DISTANCE), "x_fp long, y_fp long").toDF("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,6 +272,7 @@ def components(edges: DataFrame) -> DataFrame:
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     edges = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    past = edges
     while True:
         pairs = both(edges)
         low = pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -187,7 +287,11 @@ def components(edges: DataFrame) -> DataFrame:
         several = leaves.filter("c > 1").select(F.col("b").alias("x"))
         chained = new.select(F.col("a").alias("x")).join(leaves.select(F.col("b").alias("x")), "x", "left_semi")
         edges = new
-        if several.union(chained).isEmpty():
+        done = several.union(chained).isEmpty()
+        discard(past)
+        discard(large)
+        past = new
+        if done:
             break
     nodes = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return nodes.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
@@ -200,30 +304,71 @@ def simhash_components(prints: DataFrame) -> DataFrame:
     grouped = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component"))
     linked = grouped.select("fp", "root").join(smallest, "root").select("fp", "component")
-    # What a row needs beyond its own id: fingerprints with links or with several rows.
-    known = distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component"))
-    known = materialise(known.filter("n > 1 or component <> first or component is null"), "known")
-    total = prints.count()
-    often = F.broadcast(known.filter(F.col("n") > total * SUPPORT).select("fp", "component"))  # at most 1/SUPPORT rows
-    seldom = known.filter(F.col("n") <= total * SUPPORT).select("fp", "component")
-    hot = prints.join(often, "fp")
-    cold = prints.join(often.select("fp"), "fp", "left_anti").join(seldom, "fp", "left")
-    rows = hot.unionByName(cold)
+    known = distinct.join(linked, "fp", "left").select("fp", "n", "first", F.coalesce("component", "first").alias("component"))
+    rows = _of_rows(prints, known, ["fp"])
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _of_rows(prints: DataFrame, known: DataFrame, fp: list[str]) -> DataFrame:
+    """prints with the component of their fingerprint, null where a row's own id is its component.
+
+    known(fp, n, first, component) has every fingerprint. Only those with links or with several rows are joined; those with more than a share SUPPORT of all
+    rows by a broadcast, so no fingerprint is one task.
+    """
+    known = materialise(known.filter("n > 1 or component <> first or component is null").select(*fp, "n", "component"), "known")
+    total = prints.count()
+    often = F.broadcast(known.filter(F.col("n") > total * SUPPORT).select(*fp, "component"))  # at most 1/SUPPORT rows
+    seldom = known.filter(F.col("n") <= total * SUPPORT).select(*fp, "component")
+    hot = prints.join(often, fp)
+    cold = prints.join(often.select(*fp), fp, "left_anti").join(seldom, fp, "left")
+    return hot.unionByName(cold)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs."""
     return simhash_components(materialise(fingerprints(docs, id_col, text_col), "prints"))
 
 
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id for each row of docs: groups of texts that link at SIMILARITY of their five-word shingles."""
+
+    words = [f"w{i}" for i in range(WIDE_WORDS)]
+    meet, rest = words[:2], words[2:]
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(t.as_py(), WIDE_SHINGLE, more=WIDE_WORDS - 1) for t in batch.column(1)]
+            parts = (np.array([p >> 64 * i & (2**64 - 1) for p in prints], np.uint64) for i in range(WIDE_WORDS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(w.view(np.int64)) for w in parts)], ["doc_id", *words])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    prints = materialise(rows.mapInArrow(wide, "doc_id long, " + ", ".join(f"{w} long" for w in words)), "wide")
+    distinct = prints.groupBy(*meet).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min(F.struct(*rest)).alias("rest"))
+    distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    index = distinct.select(*meet).mapInArrow(_wide_index, "key long, a long, b long").repartition("key").sortWithinPartitions("key", "a", "b")
+    found = index.mapInArrow(_linker(["key"], ["a", "b"], MEETING), "x_a long, x_b long, y_a long, y_b long").distinct()
+    for end in ("x", "y"):  # links are few beside the fingerprints
+        node = distinct.select(F.col("w0").alias(f"{end}_a"), F.col("w1").alias(f"{end}_b"), F.col("node").alias(end), F.col("rest").alias(f"{end}_rest"))
+        found = found.join(node, [f"{end}_a", f"{end}_b"])
+    differ = F.bit_count(F.col("x_a").bitwiseXOR(F.col("y_a"))) + F.bit_count(F.col("x_b").bitwiseXOR(F.col("y_b")))
+    for w in rest:
+        differ = differ + F.bit_count(F.col(f"x_rest.{w}").bitwiseXOR(F.col(f"y_rest.{w}")))
+    found = found.filter(differ <= WIDE_DISTANCE)
+    roots = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    grouped = distinct.join(roots, "node")
+    smallest = grouped.groupBy("root").agg(F.min("first").alias("component"))
+    linked = grouped.join(smallest, "root").select(*meet, "component")
+    known = distinct.join(linked, meet, "left").select(*meet, "n", "first", F.coalesce("component", "first").alias("component"))
+    return _of_rows(prints.select("doc_id", *meet), known, meet).select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay when each component keeps its smallest doc_id; of rows that repeat that id, one.
+    """The rows of docs that stay when each group of similar texts (similar_groups) keeps its smallest doc_id; of rows that repeat that id, one.
 
     Only the ids that go are joined with the texts: a broadcast where they are few, else a shuffle. Rows
     without an id stay.
     """
-    found = materialise(near_duplicates(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), "component_id"), "components")
+    found = materialise(similar_groups(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), "component_id"), "components")
     gone = found.filter("_id <> component_id").select("_id").distinct()
     again = found.filter("_id = component_id").groupBy("_id").count().filter("count > 1").select("_id")
     # The rows travel as one struct, so no column of docs meets one of the operator's own.
