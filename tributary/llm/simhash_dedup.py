@@ -370,13 +370,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = materialise(similar_groups(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), "component_id"), "components")
     gone = found.filter("_id <> component_id").select("_id").distinct()
-    again = found.filter("_id = component_id").groupBy("_id").count().filter("count > 1").select("_id")
+    again = materialise(found.filter("_id = component_id").groupBy("_id").count().filter("count > 1").select("_id"), "again")
     # The rows travel as one struct, so no column of docs meets one of the operator's own.
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_doc"))
     key = F.col("_doc") == F.col("_id")
-    single = rows.join(gone.union(again), key, "left_anti")
-    repeated = rows.join(again, key, "left_semi").dropDuplicates(["_doc"])
-    return single.unionByName(repeated).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    if again.isEmpty():  # no id repeats: one join, so the texts move at most once
+        kept = rows.join(gone, key, "left_anti")
+    else:
+        kept = rows.join(gone.union(again), key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(["_doc"]))
+    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
