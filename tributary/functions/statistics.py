@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LATENCY_PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
@@ -32,3 +35,52 @@ def merge_sketches(column: str) -> Column:
 
 def sketch_estimate(column: str | Column) -> Column:
     return F.hll_sketch_estimate(column)
+
+
+#: Version of the snapshots below; a snapshot of another version is refused.
+SNAPSHOT_VERSION = 1
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A sketch's state with what must agree for a merge: its kind, the seed of its hashes and the version of its format."""
+
+    kind: str
+    data: bytes
+    seed: int = 0
+    version: int = SNAPSHOT_VERSION
+
+    def check(self, other: Snapshot) -> None:
+        if (self.kind, self.seed, self.version) != (other.kind, other.seed, other.version):
+            raise ValueError(f"cannot merge {self.kind} (seed {self.seed}, version {self.version}) with {other.kind} (seed {other.seed}, version {other.version})")
+
+    def to_bytes(self) -> bytes:
+        head = json.dumps({"kind": self.kind, "seed": self.seed, "version": self.version}, sort_keys=True).encode()
+        return len(head).to_bytes(4, "big") + head + self.data
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Snapshot:
+        n = int.from_bytes(raw[:4], "big")
+        head = json.loads(raw[4 : 4 + n])
+        if head["version"] != SNAPSHOT_VERSION:
+            raise ValueError(f"a snapshot of version {head['version']}, not {SNAPSHOT_VERSION}")
+        return cls(data=raw[4 + n :], **head)
+
+
+def distinct_snapshot(df: DataFrame, column: str, seed: int = 0) -> Snapshot:
+    """Distinct-count sketch of a column under a seed (values are hashed with it first)."""
+    row = df.agg(F.hll_sketch_agg(F.xxhash64(F.lit(seed), F.col(column))).alias("s")).first()
+    return Snapshot("distinct", bytes(row["s"]), seed)
+
+
+def merge_snapshots(spark: SparkSession, *snapshots: Snapshot) -> Snapshot:
+    """One snapshot of all; kinds, seeds and versions must agree."""
+    first, *rest = snapshots
+    for other in rest:
+        first.check(other)
+    data = spark.createDataFrame([(bytearray(s.data),) for s in snapshots], "s binary").agg(F.hll_union_agg("s").alias("s")).first()["s"]
+    return Snapshot(first.kind, bytes(data), first.seed, first.version)
+
+
+def snapshot_estimate(spark: SparkSession, snapshot: Snapshot) -> int:
+    return spark.createDataFrame([(bytearray(snapshot.data),)], "s binary").select(F.hll_sketch_estimate("s")).first()[0]

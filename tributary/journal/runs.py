@@ -9,11 +9,12 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Lanes, marked
-from ..order import as_columns, number_rows
+from ..order import as_columns, causal_order, number_rows
 from ..storage import exists, read_text, write_text
 
 FORMAT = 1
@@ -76,6 +77,14 @@ class Journal:
         """The last n rows, latest first."""
         return self.read(stage).orderBy(F.desc("_pos")).limit(n)
 
+    def by_id(self, stage: str, column: str, *ids: object) -> DataFrame:
+        """Rows whose column has one of these values."""
+        return self.read(stage).filter(F.col(column).isin(*ids))
+
+    def causal(self, stage: str, clock: str = "_clock", event_id: str = "_event_id") -> DataFrame:
+        """Rows with their causal number _seq (a linear extension of happened-before)."""
+        return causal_order(self.read(stage), clock, event_id)
+
     def append_generation(self, stage: str, rows: DataFrame, generation: int, order) -> None:
         """Rows of a later generation, placed after all earlier ones (resuming a run)."""
         base = self.read(stage).agg(F.max("_pos")).first()[0] or 0
@@ -89,6 +98,51 @@ class Journal:
         return Manifest(**json.loads(read_text(self.spark, f"{self.path}/run_manifest.json")))
 
 
+class MemoryJournal(Journal):
+    """A journal in the executors' memory (spilling to their disks), for runs that need no archive: gone with the application."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, "memory"
+        self._tables: dict[str, DataFrame] = {}
+        self._manifest: Manifest | None = None
+
+    def write(self, stage: str, lanes: Lanes | DataFrame, order=None) -> DataFrame:
+        data, errors = (lanes.data, lanes.errors) if isinstance(lanes, Lanes) else (lanes, None)
+        if self.has(stage):
+            raise ValueError(f"{stage} is written already")
+        data = marked(data).drop("_pos")
+        data = data.withColumn("_pos", F.monotonically_increasing_id()) if order is None else number_rows(data, order, "_pos")
+        self._tables[self._stage(stage)] = data.persist(StorageLevel.MEMORY_AND_DISK)
+        if errors is not None:
+            self._tables[self._stage(stage, errors=True)] = errors.persist(StorageLevel.MEMORY_AND_DISK)
+        return self.read(stage)
+
+    def read(self, stage: str, errors: bool = False) -> DataFrame:
+        return self._tables[self._stage(stage, errors)]
+
+    def has(self, stage: str, errors: bool = False) -> bool:
+        return self._stage(stage, errors) in self._tables
+
+    def append_generation(self, stage: str, rows: DataFrame, generation: int, order) -> None:
+        base = self.read(stage).agg(F.max("_pos")).first()[0] or 0
+        placed = number_rows(marked(rows), as_columns(order), "_pos", base + 1).withColumn("_generation", F.lit(generation))
+        self._tables[self._stage(stage)] = self.read(stage).unionByName(placed, allowMissingColumns=True).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def save(self, manifest: Manifest) -> None:
+        self._manifest = manifest
+
+    def manifest(self) -> Manifest:
+        if self._manifest is None:
+            raise FileNotFoundError("no manifest yet")
+        return self._manifest
+
+    def release(self) -> None:
+        """Give the memory back."""
+        for table in self._tables.values():
+            table.unpersist()
+        self._tables = {}
+
+
 def open_archive(spark: SparkSession, path: str, allow_incomplete: bool = False) -> tuple[Journal, Manifest, str]:
     """Journal, manifest and EOF kind of an archived run; truncated where it is incomplete and that is allowed."""
     journal = Journal(spark, path)

@@ -7,9 +7,11 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import FatalError, HandlerError, Lanes, marked, route
 from .operators.fold import ordered_fold
 from .order import seconds
 
@@ -152,8 +154,10 @@ class Retry:
 
 
 def guarded(provider: Callable[[str], str], breaker: CircuitBreaker | None = None, retry: Retry | None = None, bucket: TokenBucket | None = None, clock: Callable[[], float] = time.monotonic) -> Callable[[str], str]:
-    """A provider behind a limiter, a breaker and retries; refusals raise HandlerErrors of kind RateLimited or Remote."""
-    from .errors import HandlerError
+    """A provider behind a limiter, a breaker and retries; refusals raise HandlerErrors of kind RateLimited or Remote.
+
+    The limiter and breaker are this object's: one process has one of each. A stage that runs in many tasks takes guarded_stage.
+    """
 
     def call(text: str) -> str:
         if bucket and not bucket.admit(clock()):
@@ -172,3 +176,103 @@ def guarded(provider: Callable[[str], str], breaker: CircuitBreaker | None = Non
         return out
 
     return call
+
+
+def guarded_stage(df: DataFrame, prompt: str, provider: Callable[[str], str], order: str, ts: str, bucket: Callable[[], TokenBucket] | None = None, breaker: Callable[[], CircuitBreaker] | None = None, retry: Retry | None = None, keys: Sequence[str] = (), reply: str = "reply") -> Lanes:
+    """One effect per row behind one limiter and one breaker for the whole stage (or one of each per key), in the order of arrival.
+
+    Calls are made one after another in that order and time is the rows' own (ts), so a run repeats exactly; refused calls are errors of kind RateLimited or
+    Remote. That is sequential by definition: with keys, such as the host that is called, stages run in parallel.
+    """
+    base = marked(df)
+    schema = T.StructType([*base.schema.fields, T.StructField(reply, T.StringType())])
+    rows = base.withColumn("_guard_ts", seconds(df, ts))
+
+    def initial():
+        return (bucket() if bucket else None, breaker() if breaker else None)
+
+    def step(state, row):
+        limiter, switch = state
+        now, out = row.pop("_guard_ts"), {reply: None}
+        if row["_error_kind"] is None:
+            try:
+                if limiter and not limiter.admit(now):
+                    raise HandlerError("rate limited", "RateLimited")
+                if switch and not switch.allows(now):
+                    raise HandlerError("circuit open", "Remote")
+                try:
+                    out[reply] = retry.call(provider, row[prompt]) if retry else provider(row[prompt])
+                except Exception:
+                    if switch:
+                        switch.record(False, now)
+                    raise
+                if switch:
+                    switch.record(True, now)
+            except FatalError:
+                raise
+            except Exception as error:
+                out |= {"_error_kind": getattr(error, "kind", "Remote"), "_error_message": str(error)}
+        return state, [{**row, **out}]
+
+    return route(ordered_fold(rows, keys, order, initial, step, schema))
+
+
+def observed(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """df, and what is counted as its rows pass: no job of its own, read with observation.get once an action has run. By default rows and errors."""
+    observation = Observation(name)
+    rows = marked(df)
+    counts = counts or {"rows": F.count(F.lit(1)), "errors": F.count("_error_kind")}
+    return rows.observe(observation, *(c.alias(k) for k, c in counts.items())), observation
+
+
+def notify(observers: Sequence[Callable[[str, dict], None]], event: str, facts: dict) -> None:
+    """Tell read-only observers; one that raises is left alone and never fails the run."""
+    for observer in observers:
+        try:
+            observer(event, dict(facts))
+        except Exception:  # noqa: S110  an observer's fault is its own
+            pass
+
+
+#: What a signal gate decides: let the signal on, hold it for some seconds and ask again, or suppress it.
+CONTINUE, SUPPRESS = "continue", "suppress"
+
+
+@dataclass(frozen=True)
+class Pause:
+    seconds: float
+
+
+@dataclass(frozen=True)
+class SignalGate:
+    """decide(signal, attempt) -> CONTINUE, SUPPRESS or a Pause. The default lets every signal on."""
+
+    decide: Callable[[str, int], object] = lambda signal, attempt: CONTINUE
+
+    def resolve(self, signal: str, sleep: Callable[[float], None] = time.sleep) -> bool:
+        """Whether the signal goes on, after the pauses that the gate asks for."""
+        attempt = 0
+        while True:
+            decision = self.decide(signal, attempt)
+            if not isinstance(decision, Pause):
+                if decision not in (CONTINUE, SUPPRESS):
+                    raise ValueError(f"a gate says {CONTINUE}, {SUPPRESS} or a pause, not {decision!r}")
+                return decision == CONTINUE
+            sleep(decision.seconds)
+            attempt += 1
+
+
+def backoff_gate(delays: Sequence[float], signals: Sequence[str] = ("eof",)) -> SignalGate:
+    """Hold these signals for each delay in turn, then let them on."""
+    return SignalGate(lambda signal, attempt: Pause(delays[attempt]) if signal in signals and attempt < len(delays) else CONTINUE)
+
+
+def composite_gate(*gates: SignalGate) -> SignalGate:
+    """The strictest of the gates' decisions: suppression, then the longest pause, else on."""
+
+    def decide(signal: str, attempt: int) -> object:
+        decisions = [g.decide(signal, attempt) for g in gates]
+        pauses = [d for d in decisions if isinstance(d, Pause)]
+        return SUPPRESS if SUPPRESS in decisions else max(pauses, key=lambda p: p.seconds) if pauses else CONTINUE
+
+    return SignalGate(decide)

@@ -18,6 +18,10 @@ class Emission:
     def should_emit(self, rows: int, elapsed: float) -> bool:
         raise NotImplementedError
 
+    def emit_interval_hint(self) -> float | None:
+        """Seconds after which a stage should ask again though no row has come; None where time alone never emits."""
+        return None
+
 
 @dataclass(frozen=True)
 class OnEof(Emission):
@@ -54,3 +58,29 @@ class TimeWindow(Emission):
 
     def should_emit(self, rows: int, elapsed: float) -> bool:
         return elapsed >= self.seconds
+
+    def emit_interval_hint(self) -> float | None:
+        return self.seconds
+
+
+@dataclass(frozen=True)
+class EmitInterval(Emission):
+    """A stage's emit interval: what `policy` says, and a snapshot with the first row `seconds` or more after the first one since the last emission."""
+
+    seconds: float
+    policy: Emission = OnEof()
+
+    def __post_init__(self):
+        if self.seconds <= 0:
+            raise ValueError("an emit interval is positive")
+
+    @property
+    def resets(self) -> bool:
+        return self.policy.resets
+
+    def should_emit(self, rows: int, elapsed: float) -> bool:
+        return elapsed >= self.seconds or self.policy.should_emit(rows, elapsed)
+
+    def emit_interval_hint(self) -> float | None:
+        inner = self.policy.emit_interval_hint()
+        return self.seconds if inner is None else min(self.seconds, inner)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import Lanes, marked, route
+from ..errors import FatalError, Lanes, marked, route
 from ..storage import materialise
 from .fold import ordered_fold
 
@@ -287,7 +287,7 @@ Provider = Callable[[str], str]
 
 
 def perform(df: DataFrame, prompt: str, provider: Provider, reply: str = "reply") -> DataFrame:
-    """df with a reply per row. Exceptions become marked rows of kind Remote, or of their own kind."""
+    """df with a reply per row. Exceptions become marked rows of kind Remote, or of their own kind; a FatalError fails the stage."""
     base = marked(df)
     names = [*base.columns, reply]
     schema = T.StructType([*base.schema.fields, T.StructField(reply, T.StringType())])
@@ -300,6 +300,8 @@ def perform(df: DataFrame, prompt: str, provider: Provider, reply: str = "reply"
                 if kind is None:
                     try:
                         out = provider(text)
+                    except FatalError:  # the stage fails
+                        raise
                     except Exception as error:
                         kinds[i], messages[i] = getattr(error, "kind", "Remote"), str(error)
                 replies.append(out)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -23,11 +24,13 @@ from pyspark.sql import types as T
 from ..contracts import Verdict, transport
 from ..errors import Lanes, marked, route
 from ..journal.runs import Journal, Manifest, open_archive, worst_eof
+from ..middleware import notify
 from ..operators.cycle import MAX_ITERATIONS, iterate
 from ..operators.join import Joined
 from ..order import canonical_fan_in
 from ..schema import EventType, check_schema
 from ..sinks.callback import redelivery_gate
+from ..streaming.resume import resume_source
 
 
 class FlowError(ValueError):
@@ -69,8 +72,9 @@ class Flow:
     def _types(given) -> list[EventType]:
         return [] if given is None else [given] if isinstance(given, EventType) else list(given)
 
-    def source(self, name: str, read: Callable[[SparkSession], DataFrame | Lanes], gives=None, order=None) -> str:
-        return self._add(Stage(name, "source", read, [], self._types(gives), order))
+    def source(self, name: str, read: Callable[[SparkSession], DataFrame | Lanes], gives=None, order=None, completion: Callable[[Lanes], str] | None = None) -> str:
+        """completion: how the source ends, natural or poison, judged from its lanes (by default natural)."""
+        return self._add(Stage(name, "source", read, [], self._types(gives), order, options={"completion": completion}))
 
     def transform(self, name: str, run: Callable[[DataFrame], DataFrame | Lanes], takes=None, gives=None, order=None, effectful: bool = False) -> str:
         return self._add(Stage(name, "effect" if effectful else "transform", run, self._types(takes), self._types(gives), order, effectful=effectful))
@@ -78,6 +82,16 @@ class Flow:
     def stateful(self, name: str, run: Callable[[DataFrame], DataFrame], takes=None, gives=None, order=None) -> str:
         return self._add(Stage(name, "stateful", run, self._types(takes), self._types(gives), order))
 
+    def effect(self, name: str, run: Callable[[DataFrame], DataFrame | Lanes], takes=None, gives=None, facts=(), order=None) -> str:
+        """An effectful stage. facts: the event types its effects may give, all among `gives`, each once."""
+        stage = Stage(name, "effect", run, self._types(takes), self._types(gives), order, effectful=True, options={"facts": self._types(facts)})
+        given, named = {t.versioned for t in stage.gives}, [t.versioned for t in stage.options["facts"]]
+        if len(named) != len(set(named)):
+            raise FlowError(f"{name} declares a fact twice")
+        if not set(named) <= given:
+            raise FlowError(f"{name} does not give its facts {sorted(set(named) - given)}")
+        return self._add(stage)
+
     def join(self, name: str, run: Callable[[DataFrame, DataFrame], DataFrame | Joined], takes=None, gives=None, order=None) -> str:
         """run(reference, stream). Its edge is written (reference, stream) |> name."""
         return self._add(Stage(name, "join", run, self._types(takes), self._types(gives), order))
@@ -193,40 +207,70 @@ class Flow:
         if len(stage.gives) == 1 and stage.kind != "sink":
             check_schema(df, stage.gives[0].schema, f"stage {stage.name}")
 
-    def run(self, spark: SparkSession, journal: str | None = None, replay_from: str | None = None, allow_incomplete: bool = False, repeat_sinks: set[str] = frozenset()) -> Run:
-        """Run the flow. journal: a new directory for this run. replay_from: an archived run whose sources are read instead."""
+    def run(
+        self,
+        spark: SparkSession,
+        journal: str | Journal | None = None,
+        replay_from: str | None = None,
+        allow_incomplete: bool = False,
+        repeat_sinks: set[str] = frozenset(),
+        resume_from: str | None = None,
+        observers: Sequence[Callable[[str, dict], None]] = (),
+    ) -> Run:
+        """Run the flow. journal: a new directory for this run, or a journal. replay_from: an archived run whose sources are read instead.
+
+        resume_from: an archived run, complete or not, to go on from: each source gives its archived rows, and then the rows of its own beyond the last of them.
+        observers are told of stages and of the run's end; they cannot change or fail it.
+        """
         order = self.validate()
         archive, eof = None, "natural"
+        if resume_from and (replay_from or self.back):
+            raise FlowError("a resumed run is no replay" if replay_from else "a flow with cycles cannot be resumed")
         if replay_from:
             redelivery_gate({n: s.sink for n, s in self.stages.items() if s.kind == "sink"}, repeat_sinks)
             archive, manifest, eof = open_archive(spark, replay_from, allow_incomplete)
             if manifest.flow != self.name:
                 raise FlowError(f"{replay_from} is a run of {manifest.flow}")
-        log = Journal(spark, journal) if journal else None
+        log = journal if isinstance(journal, Journal) else Journal(spark, journal) if journal else None
         record = Manifest(self.name, uuid.uuid4().hex, config=self.config, replay_of=replay_from, cyclic=bool(self.back))
         record.sinks = {n: getattr(s.sink, "redelivery", "undeclared") for n, s in self.stages.items() if s.kind == "sink"}
         if log:
             log.save(record)
-        run = Run(self, record, log)
+        run = Run(self, record, log, spark)
         try:
             for name in order:
-                self._step(spark, run, name, archive, eof)
-        except BaseException:
+                notify(observers, "stage_started", {"stage": name, "kind": self.stages[name].kind})
+                began = time.monotonic()
+                self._step(spark, run, name, archive, eof, resume_from)
+                run.seconds[name] = time.monotonic() - began
+                notify(observers, "stage_completed", {"stage": name, "eof": run.eof[name], "seconds": run.seconds[name]})
+        except BaseException as error:
             record.status = "failed"
             if log:
                 log.save(record)
+            notify(observers, "run_failed", {"flow": self.name, "error": str(error)})
             raise
         record.status = "completed"
         if log:
             log.save(record)
+        notify(observers, "run_completed", {"flow": self.name, "run": record.run})
         return run
 
-    def _step(self, spark: SparkSession, run: Run, name: str, archive: Journal | None, eof: str) -> None:
+    def _step(self, spark: SparkSession, run: Run, name: str, archive: Journal | None, eof: str, resume_from: str | None = None) -> None:
         stage = self.stages[name]
         feeds = self.inputs(name)
         state = worst_eof(*(run.eof[i] for i in feeds)) if feeds else eof
         if stage.kind == "source":
             out = archive.read(name).drop("_pos") if archive else stage.run(spark)
+            judge = stage.options.get("completion")
+            if judge and not archive:
+                state = worst_eof(state, judge(out if isinstance(out, Lanes) else Lanes(out, marked(out).limit(0))))
+            if resume_from:
+                if not isinstance(stage.order, str):
+                    raise FlowError(f"source {name} needs one order column to be resumed")
+                live = out if isinstance(out, Lanes) else Lanes(out, None)
+                data = resume_source(spark, resume_from, name, marked(live.data), stage.order)
+                out = data.drop("_generation") if live.errors is None else Lanes(data.drop("_generation"), live.errors)
         elif stage.kind == "join":
             out = stage.run(self._merged(run.outputs, self.inputs(name, "reference"), stage), self._merged(run.outputs, self.inputs(name, "stream"), stage))
             if isinstance(out, Joined):
@@ -256,10 +300,12 @@ class Run:
     flow: Flow
     manifest: Manifest
     journal: Journal | None
+    spark: SparkSession
     outputs: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, DataFrame] = field(default_factory=dict)
     eof: dict[str, str] = field(default_factory=dict)
     delivered: dict[str, object] = field(default_factory=dict)
+    seconds: dict[str, float] = field(default_factory=dict)
 
     def contracts(self) -> list[Verdict]:
         """Transport contract of every edge: rows in the journal against rows a reader of the edge sees."""

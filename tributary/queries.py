@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import middleware
+from .contracts import undelivered
 from .errors import error_totals
 from .functions.hashing import sha256_text, stable_hash64_column
 from .functions.scalars import bucketise, characters, saturating_add, spelled_digit
@@ -213,9 +214,21 @@ def conflate_events(spark, d):
     return acc.conflate("user_id").apply(_table(spark, d, "events").select("user_id", "event_id", "value"), "event_id")
 
 
-@query("ag04_top_n")
+_AG04 = """
+WITH RECURSIVE e AS (SELECT user_id AS k, value AS s, event_id AS o, row_number() OVER (ORDER BY event_id) AS i FROM events),
+m AS (
+  SELECT i, [{'s': s, 'o': -o, 'k': k}] AS l FROM e WHERE i = 1
+  UNION ALL
+  SELECT i, CASE WHEN len(n) > 10 THEN n[2:] ELSE n END
+  FROM (SELECT e.i, list_sort(list_append(list_filter(m.l, lambda x: x.k <> e.k), {'s': e.s, 'o': -e.o, 'k': e.k})) AS n FROM m JOIN e ON e.i = m.i + 1)),
+t AS (SELECT l FROM m WHERE i = (SELECT max(i) FROM e))
+SELECT 10 AS capacity, CAST(len(l) AS INTEGER) AS count, CAST(r AS INTEGER) AS rank, l[len(l) + 1 - r].k AS key, l[len(l) + 1 - r].s AS score FROM (SELECT l, unnest(range(1, len(l) + 1)) AS r FROM t)
+"""
+
+
+@query("ag04_top_n", _AG04)
 def top_n(spark, d):
-    """The bounded map is order-dependent: tested against a row-at-a-time simulator."""
+    """The bounded map is order-dependent; tests also compare it with a row-at-a-time simulator."""
     out = acc.top_n(10, "user_id", "value").apply(_table(spark, d, "events"), "event_id")
     return out.select("capacity", "count", F.explode("top_n").alias("t")).select("capacity", "count", "t.rank", "t.key", "t.score")
 
@@ -373,15 +386,34 @@ def split_to_budget(spark, d):
     return tokens.split_to_budget(docs, ["source"], "doc_id", "tokens", 3000)
 
 
-@query("ai05_chunk_by_budget")
+#: Pieces of at most 4,000 bytes: a cut moves back over bytes inside a character (80 to BF), of which there are three at most.
+_CHUNKS = """
+WITH RECURSIVE x AS MATERIALIZED (SELECT doc_id, b - 1 AS b FROM (SELECT doc_id, unnest(h) AS h, generate_subscripts(h, 1) AS b FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents)) WHERE h BETWEEN '80' AND 'BF'),
+p AS (
+  SELECT source, doc_id, 0 AS piece, CAST(0 AS BIGINT) AS start, CAST(strlen(text) AS BIGINT) AS total FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT source, p.doc_id, piece + 1, start + 4000 - CASE WHEN x0.b IS NULL THEN 0 WHEN x1.b IS NULL THEN 1 WHEN x2.b IS NULL THEN 2 ELSE 3 END, total
+  FROM p LEFT JOIN x x0 ON x0.doc_id = p.doc_id AND x0.b = start + 4000 LEFT JOIN x x1 ON x1.doc_id = p.doc_id AND x1.b = start + 3999 LEFT JOIN x x2 ON x2.doc_id = p.doc_id AND x2.b = start + 3998
+  WHERE total - start > 4000),
+d AS (SELECT source, CAST(ceil((coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY piece), total) - start) / 4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id, piece) AS i FROM p),
+f AS (
+  SELECT source, i, tokens, CAST(0 AS BIGINT) AS chunk_index, tokens AS used, 1 AS held FROM d WHERE i = 1
+  UNION ALL
+  SELECT source, i, tokens, CASE WHEN shut THEN chunk_index + 1 ELSE chunk_index END, CASE WHEN shut THEN tokens ELSE used + tokens END, CASE WHEN shut THEN 1 ELSE held + 1 END
+  FROM (SELECT d.source, d.i, d.tokens, f.chunk_index, f.used, f.held, f.used + d.tokens > 1000 OR f.held >= {max_items} AS shut FROM f JOIN d ON d.source IS NOT DISTINCT FROM f.source AND d.i = f.i + 1)),
+c AS (SELECT source, chunk_index, CAST(sum(tokens) AS BIGINT) AS estimated_tokens, CAST(count(*) AS INTEGER) AS items FROM f GROUP BY source, chunk_index)
+"""
+
+
+@query("ai05_chunk_by_budget", _CHUNKS.format(max_items=50) + "SELECT source, chunk_index, count(*) OVER (PARTITION BY source) AS chunk_count, estimated_tokens, CAST(0 AS BIGINT) AS depth, items FROM c")
 def chunks(spark, d):
-    """Documents above the budget go in as pieces, so that whole texts are chunked: tested against the planner's own properties."""
+    """Documents above the budget go in as pieces, so that whole texts are chunked."""
     docs = tokens.split_items(_table(spark, d, "documents").select("source", "doc_id", "text"), "doc_id", "text", 1000)
     out = tokens.chunk_by_budget(docs, ["source"], "doc_id", "text", lambda text, depth: text, 1000, 50)
     return out.select("source", "chunk_index", "chunk_count", "estimated_tokens", "depth", F.size("item_ordinals").alias("items"))
 
 
-@query("ai07_map_reduce")
+@query("ai07_map_reduce", _CHUNKS.format(max_items=1_000_000) + "SELECT source, 'ok' AS status, count(*) AS chunk_count, CAST((SELECT sum(length(text)) FROM documents WHERE documents.source IS NOT DISTINCT FROM c.source) + sum(items) - count(*) AS VARCHAR) AS result FROM c GROUP BY source")
 def map_reduce(spark, d):
     docs = tokens.split_items(_table(spark, d, "documents").select("source", "doc_id", "text"), "doc_id", "text", 1000)
     out = tokens.map_reduce(docs, "source", "doc_id", "text", lambda text, depth: text, 1000, lambda p: str(len(p)), lambda p: str(sum(map(int, p.split("\n")))))
@@ -408,7 +440,17 @@ def structured(spark, d):
     return lanes.data.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("decoded.k").alias("total"))
 
 
-@query("ap01_stable_hash")
+#: FNV-1a over the bytes from its offset xor 7, then the finaliser, in 128-bit arithmetic.
+_AP01 = """
+WITH h AS (SELECT doc_id, list_reduce(list_concat([xor(14695981039346656037::UBIGINT, 7::UBIGINT)], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: CAST('0x' || p AS UBIGINT))),
+  lambda a, b: CAST((CAST(xor(a, b) AS UHUGEINT) * 1099511628211) % 18446744073709551616::UHUGEINT AS UBIGINT)) AS h FROM documents),
+m1 AS (SELECT doc_id, CAST((CAST(xor(h, h >> 33) AS UHUGEINT) * 18397679294719823053::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS h FROM h),
+m2 AS (SELECT doc_id, CAST((CAST(xor(h, h >> 33) AS UHUGEINT) * 14181476777654086739::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS h FROM m1)
+SELECT doc_id, lower(lpad(hex(xor(h, h >> 33)), 16, '0')) AS hash FROM m2
+"""
+
+
+@query("ap01_stable_hash", _AP01)
 def stable_hash(spark, d):
     return _table(spark, d, "documents").select("doc_id", stable_hash64_column("text", 7).alias("hash"))
 
@@ -445,8 +487,8 @@ def correlation(spark, d):
 
 @query("ct01_delivery_gaps", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def delivery_gaps(spark, d):
-    receipts = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return _table(spark, d, "orders").select("o_orderkey").join(receipts, "o_orderkey", "left_anti")
+    receipts = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return undelivered(_table(spark, d, "orders"), receipts, "o_orderkey")
 
 
 @query("vf01_compare_runs", "SELECT row_number() OVER (ORDER BY event_id) AS _pos FROM events QUALIFY event_id % 997 = 0")
@@ -456,13 +498,39 @@ def compare_runs(spark, d):
     return compare(baseline, candidate).select("_pos")
 
 
-@query("mw01_rate_limiter")
+_MW01 = """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+b AS (
+  SELECT user_id, i, t AS seen, 4.0::DOUBLE AS tokens, true AS admitted FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, i, greatest(seen, t), CASE WHEN full_ + 1e-9 < 1 THEN full_ ELSE full_ - 1 END, full_ + 1e-9 >= 1
+  FROM (SELECT e.user_id, e.i, e.t, b.seen, least(5.0::DOUBLE, b.tokens + greatest(0.0::DOUBLE, e.t - b.seen) * (1.0::DOUBLE / 600)) AS full_ FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1))
+SELECT user_id, admitted, count(*) AS n FROM b GROUP BY ALL
+"""
+
+
+@query("mw01_rate_limiter", _MW01)
 def rate_limiter(spark, d):
     out = middleware.rate_limited(_table(spark, d, "events"), "event_id", "ts", 1 / 600, 5, keys=["user_id"])
     return out.groupBy("user_id", "admitted").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mw02_circuit_breaker")
+_MW02 = """
+WITH RECURSIVE e AS (SELECT user_id, event_type <> 'error' AS ok, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+b AS (
+  SELECT user_id, i, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS fails, 0.0::DOUBLE AS opened, true AS allowed FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, i,
+    CASE WHEN now = 'open' THEN 'open' WHEN now = 'half_open' THEN (CASE WHEN ok THEN 'closed' ELSE 'open' END) WHEN NOT ok AND fails + 1 >= 2 THEN 'open' ELSE 'closed' END,
+    CASE WHEN now = 'open' THEN fails WHEN now = 'half_open' OR ok OR fails + 1 >= 2 THEN 0 ELSE fails + 1 END,
+    CASE WHEN now <> 'open' AND NOT ok AND (now = 'half_open' OR fails + 1 >= 2) THEN t ELSE opened END,
+    now <> 'open'
+  FROM (SELECT e.user_id, e.i, e.ok, e.t, b.fails, b.opened, CASE WHEN b.state = 'open' AND e.t - b.opened >= 3600 THEN 'half_open' ELSE b.state END AS now FROM b JOIN e ON e.user_id = b.user_id AND e.i = b.i + 1))
+SELECT user_id, state, allowed, count(*) AS n FROM b GROUP BY ALL
+"""
+
+
+@query("mw02_circuit_breaker", _MW02)
 def circuit_breaker(spark, d):
     calls = _table(spark, d, "events").withColumn("ok", F.col("event_type") != "error")
     out = middleware.breaker_states(calls, "event_id", "ts", "ok", lambda: middleware.CircuitBreaker(failures=2, open_for=3600), keys=["user_id"])
@@ -486,3 +554,6 @@ def csv_round_trip(spark, d):
 @query("sc01_saturating", "SELECT l_orderkey, l_linenumber, l_partkey, least(CAST(l_partkey AS HUGEINT) + 9223372036854775000, 9223372036854775807)::BIGINT AS v FROM lineitem")
 def saturating(spark, d):
     return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", saturating_add(F.col("l_partkey"), F.lit(9223372036854775000)).alias("v"))
+
+
+from . import queries_runtime  # noqa: E402, F401  registers the rest with the decorator above

@@ -32,16 +32,24 @@ def render_table(rows: list[Row], columns: list[str], max_width: int = 40) -> st
 
 
 class ConsoleSink:
-    """format: json, json_pretty, debug, table, or a function of a row. Safe to repeat."""
+    """format: json, json_pretty, debug, table, snapshot_table, or a function of a row. Safe to repeat.
+
+    A snapshot table shows each row as a table of its own, between header and footer: `snapshot` names the column that holds its rows (an array of structs).
+    """
 
     redelivery = "safe"
 
-    def __init__(self, format: str | Callable[[Row], str] = "json", max_width: int = 40, stderr: bool = False, out: TextIO | None = None, header: str | None = None, footer: str | None = None, limit: int = 1000):
+    def __init__(self, format: str | Callable[[Row], str] = "json", max_width: int = 40, stderr: bool = False, out: TextIO | None = None, header: str | None = None, footer: str | None = None, limit: int = 1000, snapshot: str | None = None):
+        if format == "snapshot_table" and not snapshot:
+            raise ValueError("a snapshot table needs the column of its rows")
+        self.snapshot = snapshot
         self.format, self.max_width, self.header, self.footer, self.limit = format, max_width, header, footer, limit
         self.out = out or (sys.stderr if stderr else sys.stdout)
 
     def write(self, df: DataFrame, order: str | None = None) -> int:
         df = df.orderBy(order) if order else df
+        if self.format == "snapshot_table":
+            return self._snapshots(df)
         render = {"json": render_json, "json_pretty": render_pretty, "debug": repr}.get(self.format, self.format)
         n = 0
         if self.header:
@@ -57,3 +65,12 @@ class ConsoleSink:
         if self.footer:
             print(self.footer, file=self.out)
         return n
+
+    def _snapshots(self, df: DataFrame) -> int:
+        n, names = 0, df.schema[self.snapshot].dataType.elementType.names
+        for row in df.toLocalIterator():
+            for text in (self.header, render_table(list(row[self.snapshot] or []), names, self.max_width), self.footer):
+                if text:
+                    print(text, file=self.out)
+            n += 1
+        return n
