@@ -14,7 +14,8 @@ Conversations are dealt by conv_id and sorted by turn within partitions; a task
 holds one turn and two running digests, so a conversation of any length needs constant memory.
 
 Defined results. Null roles and texts are empty. Turns are ordered by turn (null first), then role, then
-text, so ties and repeated rows have one order. Null conv_ids form one conversation. An empty table gives an empty result.
+text, so ties and repeated rows have one order. Null conv_ids form one conversation. Texts of any length are read whole. Further columns are
+not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

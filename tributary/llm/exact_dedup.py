@@ -13,8 +13,7 @@
 
 Defined results. Null text counts as empty. Of equal texts the row with the largest doc_id stays; null
 doc_ids come last; where that doc_id repeats, exactly one of its rows is kept (the last as stored). An
-empty table gives an empty result. Further columns are carried along on request, those with names of
-the result's own excepted.
+empty table gives an empty result. Texts of any length are read whole. Further columns are not read.
 """
 
 from __future__ import annotations
