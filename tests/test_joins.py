@@ -64,3 +64,16 @@ def test_multi_key_keeps_the_order_of_keys(spark):
     s = finite(spark, [(1, ["b", "a", "zz"]), (2, [])], "id long, ks array<string>").drop("_seq")
     out = joins.multi_key(ref(spark, [(1, "a", "x"), (2, "b", "y")]), s, "k", "ks", "seq", "id")
     assert {r["id"]: [x["v"] for x in r["refs"]] for r in out.collect()} == {1: ["y", "x"], 2: []}
+
+
+def test_live_joins_of_hot_keys_are_the_plain_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    at = rng.sample(range(5000), 1200)
+    ref = spark.createDataFrame([(i, rng.choice(["hot", "hot", "a", None]), f"v{i}") for i in at[:400]], "o long, k string, v string")
+    stream = spark.createDataFrame([(i, rng.choice(["hot"] * 4 + ["a", "b", None])) for i in at[400:]], "o long, k string")
+    for how in (joins.inner_live, joins.left_live):
+        exprs = {"o": "stream.o", "v": "ref.v"}
+        rows = [sorted(map(tuple, how(ref, stream.repartition(5), "k", "k", "o", "o", exprs, hot_keys=hot).collect()), key=repr) for hot in (False, True)]
+        assert rows[0] == rows[1] and rows[0]

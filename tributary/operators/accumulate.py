@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..errors import ok_rows
-from ..order import as_columns, number_rows
+from ..order import as_columns, numbered_rows
 from ..order import seconds as time_seconds
 from ..storage import materialise
 from .emission import EmitAlways, Emission, EveryN, OnEof, TimeWindow
@@ -175,13 +175,12 @@ class Reduce(_WithEmission):
         if not isinstance(self.emission, EveryN | EmitAlways):
             raise TypeError("custom policies run in custom(): an ordered fold")
         n = self.emission.n if isinstance(self.emission, EveryN) else 1
-        numbered = number_rows(df, order, "_nth")
+        numbered, total = numbered_rows(df, order, "_nth")
         chunks = numbered.groupBy(F.floor((F.col("_nth") - 1) / n).alias("_chunk")).agg(*partials, F.max("_nth").alias("_at"))
         out = running(chunks, "_chunk", {m: a.merge for m, a in self.aggs.items()}, carried=["_at"])
-        last = out.agg(F.max("_at")).first()[0]  # one number
-        full = out.filter(F.col("_at") % n == 0).withColumn("_terminal", F.lit(False))
-        final = out.filter(F.col("_at") == F.lit(last)).withColumn("_terminal", F.lit(True))
-        out = full.unionByName(final)
+        # The last row is shown once more as the final state.
+        shows = F.filter(F.array(F.when(F.col("_at") % n == 0, F.lit(False)), F.when(F.col("_at") == total, F.lit(True))), lambda x: x.isNotNull())
+        out = out.withColumn("_terminal", F.explode(shows))
         return out.select(*_shown(out, names), F.col("_at").alias("_emitted_at"), "_terminal")
 
 
@@ -230,8 +229,7 @@ class GroupBy(_WithEmission):
         if not isinstance(self.emission, EveryN | EmitAlways):
             raise TypeError("custom policies run in custom(): an ordered fold")
         n = self.emission.n if isinstance(self.emission, EveryN) else 1
-        numbered = number_rows(df, order, "_nth")
-        total = numbered.agg(F.max("_nth")).first()[0] or 0
+        numbered, total = numbered_rows(df, order, "_nth")
         chunks = numbered.groupBy(*keys, F.floor((F.col("_nth") - 1) / n).alias("_chunk")).agg(*partials)
         upto = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         following = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))

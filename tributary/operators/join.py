@@ -7,7 +7,8 @@ cut, and the status is poison.
 
 Scale. The catalogue is reduced per key before the join (map-side partial max_by). Whether it is broadcast is decided
 by Spark from its measured size, against spark.sql.autoBroadcastJoinThreshold; beyond it the join shuffles both sides by
-key and adaptive execution splits skewed stream keys. A live join is one window per key over both inputs.
+key and adaptive execution splits skewed stream keys. A live join is one window per key over both inputs, or with hot_keys one per key and range of
+the order, for keys that hold a large share of all rows (the inputs are then written once).
 Its order is total only if order columns are unique over both inputs; at ties a catalogue row comes first.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql.window import Window
 from ..errors import KIND, error_rows, ok_rows
 from ..order import as_columns
 from ..storage import materialise
+from .fold import range_parts
 
 Keys = str | Sequence[str]
 Exprs = Mapping[str, Column | str]
@@ -114,7 +116,7 @@ def strict(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: K
     return _cut(_finite(reference, stream, ref_key, stream_key, ref_order, "left", unique_key), stream, stream_order, exprs, mode == "raise")
 
 
-def _as_of(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order: Keys, stream_order: Keys) -> DataFrame:
+def _as_of(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: Keys, ref_order: Keys, stream_order: Keys, hot_keys: bool = False) -> DataFrame:
     rk, sk, ro, so = _names(ref_key), _names(stream_key), _names(ref_order), _names(stream_order)
     if len(rk) != len(sk) or len(ro) != len(so):
         raise ValueError("both sides need as many key and order columns")
@@ -130,22 +132,40 @@ def _as_of(reference: DataFrame, stream: DataFrame, ref_key: Keys, stream_key: K
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
+    if hot_keys:
+        return _as_of_in_ranges(a.unionByName(b), keys, order, known)
     merged = a.unionByName(b).withColumn("_now", F.last("ref", ignorenulls=True).over(seen))
     return merged.filter("_side = 1").select("stream", F.when(known, F.col("_now")).alias("ref"))
 
 
-def inner_live(reference, stream, ref_key: Keys, stream_key: Keys, ref_order: Keys, stream_order: Keys, exprs: Exprs | None = None) -> DataFrame:
+def _as_of_in_ranges(merged: DataFrame, keys: list[str], order: list[str], known: Column) -> DataFrame:
+    """The same with every key cut by ranges of the order, so that no key is one task: the last catalogue row of a range is carried on to
+    the key's later ranges, of which there are at most as many as partitions."""
+    parts = range_parts(merged, [*order, "_side"], "arrivals")
+    at = F.when(F.col("_side") == 0, F.struct(*order))  # stream rows have none, and max_by leaves them out
+    cells = parts.groupBy(*keys, "_p").agg(F.max_by("ref", at).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cells.select(*(F.col(k).alias(f"_c{k}") for k in keys), F.col("_p").alias("_cp"), F.last("_last", ignorenulls=True).over(before).alias("_open"))
+    seen = Window.partitionBy(*keys, "_p").orderBy(*order, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = parts.withColumn("_now", F.last("ref", ignorenulls=True).over(seen)).filter("_side = 1")
+    same = F.col("_p") == F.col("_cp")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_c{k}"))
+    return found.join(carried, same, "left").select("stream", F.when(known, F.coalesce("_now", "_open")).alias("ref"))
+
+
+def inner_live(reference, stream, ref_key: Keys, stream_key: Keys, ref_order: Keys, stream_order: Keys, exprs: Exprs | None = None, hot_keys: bool = False) -> DataFrame:
     """inner against the catalogue as of each stream row."""
-    return _project(_as_of(reference, stream, ref_key, stream_key, ref_order, stream_order).filter(F.col("ref").isNotNull()), stream, exprs)
+    return _project(_as_of(reference, stream, ref_key, stream_key, ref_order, stream_order, hot_keys).filter(F.col("ref").isNotNull()), stream, exprs)
 
 
-def left_live(reference, stream, ref_key: Keys, stream_key: Keys, ref_order: Keys, stream_order: Keys, exprs: Exprs | None = None) -> DataFrame:
+def left_live(reference, stream, ref_key: Keys, stream_key: Keys, ref_order: Keys, stream_order: Keys, exprs: Exprs | None = None, hot_keys: bool = False) -> DataFrame:
     """left against the catalogue as of each stream row: null before its key's first catalogue row."""
-    return _project(_as_of(reference, stream, ref_key, stream_key, ref_order, stream_order), stream, exprs)
+    return _project(_as_of(reference, stream, ref_key, stream_key, ref_order, stream_order, hot_keys), stream, exprs)
 
 
-def strict_live(reference, stream, ref_key: Keys, stream_key: Keys, ref_order: Keys, stream_order: Keys, exprs: Exprs | None = None, mode: str = "cut") -> Joined:
-    return _cut(_as_of(reference, stream, ref_key, stream_key, ref_order, stream_order), stream, stream_order, exprs, mode == "raise")
+def strict_live(reference, stream, ref_key: Keys, stream_key: Keys, ref_order: Keys, stream_order: Keys, exprs: Exprs | None = None, mode: str = "cut", hot_keys: bool = False) -> Joined:
+    return _cut(_as_of(reference, stream, ref_key, stream_key, ref_order, stream_order, hot_keys), stream, stream_order, exprs, mode == "raise")
 
 
 def multi_key(reference: DataFrame, stream: DataFrame, ref_key: str, stream_keys: str, ref_order, stream_id: Keys | None = None, name: str = "refs", admit: Column | str | None = None) -> DataFrame:

@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .storage import materialise
 
@@ -30,19 +29,27 @@ def seconds(df: DataFrame, ts: str) -> Column:
     return (F.col(ts).cast("timestamp") if isinstance(kind, T.TimestampNTZType | T.DateType) else F.col(ts)).cast("double")
 
 
-def number_rows(df: DataFrame, order: str | Column | Sequence[str | Column], name: str = "_seq", start: int = 1) -> DataFrame:
-    """df with a dense number in the given (total) order.
+def numbered_rows(df: DataFrame, order: str | Column | Sequence[str | Column], name: str = "_seq", start: int = 1) -> tuple[DataFrame, int]:
+    """df with a dense number in the given (total) order, and how many rows it has.
 
     Rows are range-partitioned and sorted within partitions, in parallel, and written once; a partition's offset
-    is the number of rows in the partitions before it: one row per partition, added by a broadcast.
+    is the number of rows in the partitions before it: one number per partition, which the driver adds up.
     """
     by = as_columns(order)
     dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
-    dealt = materialise(dealt.withColumn("_part", F.shiftright("_at", 33)), "numbered")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + start
-    return dealt.join(F.broadcast(offsets), "_part").select(*df.columns, number.cast("long").alias(name))
+    dealt = materialise(dealt.withColumn("_part", F.shiftright("_at", 33).cast("int")), "numbered")
+    counts = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}  # a row a partition
+    before, total = [], start
+    for part in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(part, 0)
+    number = F.get(F.lit(before or [start]), F.col("_part")) + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return dealt.select(*df.columns, number.cast("long").alias(name)), total - start
+
+
+def number_rows(df: DataFrame, order: str | Column | Sequence[str | Column], name: str = "_seq", start: int = 1) -> DataFrame:
+    """df with a dense number in the given (total) order: see numbered_rows."""
+    return numbered_rows(df, order, name, start)[0]
 
 
 def canonical_fan_in(inputs: dict[str, DataFrame], order: Sequence[str] | str, name: str = "_seq") -> DataFrame:
