@@ -15,8 +15,8 @@ only.
 
 How it scales. Pass one explodes lines to hashes (their leaves, and long lines whole; no text) and counts them by
 map-side partial sums. Pass two keeps the lines whose leaf or whole several documents reach, few in most corpora; text
-goes on only for lines that may have wildcards. The join that selects them is broadcast when the list is small and
-a shuffle otherwise, and Spark splits its hot keys. Documents of a template are counted over lines that were
+goes on only for lines that may have wildcards. The lists that select them, and the documents' drops, grow with the data, so these joins are
+shuffles at every size, and Spark splits their hot keys. Documents of a template are counted over lines that were
 first made unique within each document. Lines dropped are returned as positions to their document.
 
 Defined results. Lines end at U+000A. A null text stays null, an empty one empty, with 0 lines dropped.
@@ -88,7 +88,7 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = lines.withColumn("_hash", F.xxhash64(F.lit(10), F.col("_line")))
     may_vary = (kind == _LEAF) & (_free(F.col("_size")) > 0) & (F.col("_size") > LEADING)
     found = found.select("_id", "_key", "_pos", "_hash", "_size", "_line", F.explode(F.array("_leaf", "_whole")).alias("_at")).filter("_at is not null")
-    found = found.withColumn("_line", F.when(may_vary, F.col("_line"))).join(reached, "_at", "left_semi")
+    found = found.withColumn("_line", F.when(may_vary, F.col("_line"))).join(reached.hint("merge"), "_at", "left_semi")
     found = materialise(found.withColumn("_kind", kind.cast("int")), "lines")
 
     # Long lines of two documents: all but the first go, and where there is one document only it is the first.
@@ -139,7 +139,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     drops = line_drops(docs, id_col, text_col)
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_hash"))
-    joined = rows.join(drops, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
+    joined = rows.join(drops.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
     text = F.col("_row")[text_col]
     lines = F.split(text, "\n", -1)
 

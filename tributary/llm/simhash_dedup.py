@@ -365,7 +365,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay when each group of similar texts (similar_groups) keeps its smallest doc_id; of rows that repeat that id, one.
 
-    Only the ids that go are joined with the texts: a broadcast where they are few, else a shuffle. Rows
+    Only the ids that go are joined with the texts. They grow with the data, so that join is a shuffle at every size. Rows
     without an id stay.
     """
     found = materialise(similar_groups(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), "component_id"), "components")
@@ -374,10 +374,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # The rows travel as one struct, so no column of docs meets one of the operator's own.
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_doc"))
     key = F.col("_doc") == F.col("_id")
-    if again.isEmpty():  # no id repeats: one join, so the texts move at most once
-        kept = rows.join(gone, key, "left_anti")
+    if again.isEmpty():  # no id repeats: one join, so the texts move once
+        kept = rows.join(gone.hint("merge"), key, "left_anti")
     else:
-        kept = rows.join(gone.union(again), key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(["_doc"]))
+        kept = rows.join(gone.union(again).hint("merge"), key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates(["_doc"]))
     return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
