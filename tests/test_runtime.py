@@ -311,3 +311,15 @@ def test_excluded_items_are_all_seen(spark):
     out = tokens.chunk_by_budget(df, ["k"], "_seq", "v", lambda x, d: x, 1, policy=policy).collect()
     assert sorted(e["ordinal"] for r in out if r["k"] == "s" for e in json.loads(r["excluded"])) == [1, 3]
     assert [(r["chunk_index"], r["chunk_count"]) for r in out if r["k"] == "t"] == [(None, 0)]
+
+
+def test_a_permanent_failure_poisons_a_pull(spark):
+    from tributary.sources.http_pull import Page, PullDecoder, Request, Response, http_source
+
+    def client(request):
+        at = int(request.params["at"])
+        return Response(404) if at == 2 else Response(200, json.dumps({"items": [{"v": at}], "next": str(at + 1)}))
+
+    decoder = PullDecoder(lambda cursor: Request("u", params={"at": cursor or "0"}), lambda r: Page(json.loads(r.body)["items"], json.loads(r.body)["next"]))
+    pulled = http_source(spark, client, decoder, "v long")
+    assert (pulled.eof, pulled.error.kind) == ("poison", "PermanentFailure") and sorted(r["v"] for r in pulled.rows.collect()) == [0, 1]

@@ -436,6 +436,22 @@ def counters(df: DataFrame, keys: Sequence[str], kind: str, name: str = "counter
     return counted.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(kind), F.col("_n"))))).alias(name))
 
 
+def funnel(df: DataFrame, keys: Sequence[str], steps: Mapping[str, str]) -> DataFrame:
+    """One row: by step, how many keys have rows of it and of all steps before it (in any order). One aggregate row a key."""
+    rows = ok_rows(df).groupBy(*keys).agg(*(F.bool_or(F.expr(test)).alias(name) for name, test in steps.items()))
+    passed, out = F.lit(True), []
+    for name in steps:
+        passed = passed & F.coalesce(F.col(name), F.lit(False))
+        out.append(F.count_if(passed).alias(name))
+    return rows.agg(*out)
+
+
+def session_fold(df: DataFrame, keys: Sequence[str], order: str, kind: str, ts: str) -> DataFrame:
+    """keys, n, first and last order values, kinds (sorted, distinct) and seconds from the first to the last time, per key."""
+    rows = ok_rows(df).withColumn("_t", time_seconds(df, ts))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(order).alias("last"), F.sort_array(F.collect_set(kind)).alias("kinds"), (F.max("_t") - F.min("_t")).alias("seconds"))
+
+
 def reduce(**aggs: Agg) -> Reduce:
     return Reduce(aggs=aggs)
 

@@ -278,9 +278,17 @@ def counters(spark, d):
     "WITH u AS (SELECT user_id, bool_or(event_type = 'view') AS v, bool_or(event_type = 'click') AS c, bool_or(event_type = 'purchase') AS p FROM events GROUP BY user_id) SELECT count(*) FILTER (v) AS viewed, count(*) FILTER (v AND c) AS clicked, count(*) FILTER (v AND c AND p) AS bought FROM u",
 )
 def funnel(spark, d):
-    did = lambda t: F.bool_or(F.col("event_type") == t)
-    users = _table(spark, d, "events").groupBy("user_id").agg(did("view").alias("v"), did("click").alias("c"), did("purchase").alias("p"))
-    return users.agg(F.count_if("v").alias("viewed"), F.count_if(F.col("v") & F.col("c")).alias("clicked"), F.count_if(F.col("v") & F.col("c") & F.col("p")).alias("bought"))
+    steps = {"viewed": "event_type = 'view'", "clicked": "event_type = 'click'", "bought": "event_type = 'purchase'"}
+    return acc.funnel(_table(spark, d, "events"), ["user_id"], steps)
+
+
+@query(
+    "ag10_sessions",
+    "SELECT user_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, CAST(round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE) AS BIGINT) AS lasted FROM events GROUP BY user_id",
+)
+def user_sessions(spark, d):
+    out = acc.session_fold(_table(spark, d, "events"), ["user_id"], "event_id", "event_type", "ts")
+    return out.select("user_id", "n", F.col("first").alias("first_id"), F.col("last").alias("last_id"), F.array_join("kinds", ",").alias("kinds"), F.round("seconds").cast("long").alias("lasted"))
 
 
 @query("em02_emit_always", "SELECT row_number() OVER w AS n, CAST(sum(user_id) OVER w AS BIGINT) AS users, CAST(row_number() OVER w AS BIGINT) AS _emitted_at, false AS _terminal FROM events WINDOW w AS (ORDER BY event_id) UNION ALL SELECT count(*), CAST(sum(user_id) AS BIGINT), count(*), true FROM events")
@@ -420,10 +428,10 @@ def map_reduce(spark, d):
     return out.select("source", "status", "chunk_count", "result")
 
 
-@query("ai08_inference", "SELECT conv_id, turn, upper(left(text, 5)) AS reply FROM conversations WHERE role = 'user'")
+@query("ai08_inference", "SELECT conv_id, turn, text || ' (' || length(text) || ')' AS reply FROM conversations WHERE role = 'user'")
 def inference(spark, d):
     prompts = _table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
-    return tokens.inference(prompts, "text", lambda p: p[:5].upper()).data.select("conv_id", "turn", "reply")
+    return tokens.inference(prompts, "text", lambda p: f"{p} ({len(p)})").data.select("conv_id", "turn", "reply")
 
 
 @query("ai10_text_hash", "SELECT doc_id, sha256(text) AS text_hash FROM documents")
