@@ -337,8 +337,9 @@ class TopNFold:
         if isinstance(policy, TimeWindow) and not ts:
             raise ValueError("a time window needs a timestamp column")
 
+        # Entries are (score, earliness): the worst is the smallest of them, and ranks go down from the largest.
         def snapshot(state, terminal):
-            best = sorted(state["map"].items(), key=lambda kv: (-kv[1][0], kv[1][1]))
+            best = sorted(state["map"].items(), key=lambda kv: kv[1], reverse=True)
             top = [{"rank": i + 1, "key": k, "score": v[0]} for i, (k, v) in enumerate(best[:cap])]
             return {**state["within"], "top_n": top, "capacity": cap, "count": len(state["map"]), "_emitted_at": state["n"], "_terminal": terminal}
 
@@ -352,11 +353,11 @@ class TopNFold:
             scores, key = state["map"], row["_key"]
             if summing:
                 old = scores.get(key)
-                scores[key] = (row["_score"] + (old[0] if old else 0.0), old[1] if old else row["_o"])
+                scores[key] = (row["_score"] + (old[0] if old else 0.0), old[1] if old else _earliness(row["_o"]))
             else:
-                scores[key] = (row["_score"], row["_o"])
+                scores[key] = (row["_score"], _earliness(row["_o"]))
                 if len(scores) > cap:
-                    del scores[min(scores, key=lambda k: (scores[k][0], _later_first(scores[k][1])))]
+                    del scores[min(scores, key=scores.get)]
             state["n"] += 1
             state["since"] += 1
             state["opened"] = row["_ts"] if state["opened"] is None else state["opened"]
@@ -383,9 +384,13 @@ class _Reversed:
     def __lt__(self, other):
         return other.value < self.value
 
+    def __eq__(self, other):
+        return self.value == other.value
 
-def _later_first(value) -> _Reversed:
-    return _Reversed(value)
+
+def _earliness(order: object) -> object:
+    """Larger for what comes earlier."""
+    return -order if isinstance(order, int | float) else _Reversed(order)
 
 
 def custom(
