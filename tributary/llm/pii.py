@@ -5,7 +5,7 @@ email, ip, card (Luhn), phone. The scanners below are linear in the text, also o
 
 The CRF tags tokens of number groups: runs of digits and of the marks between them. Its features are
 token shapes (digit-run length or the mark), their neighbours' shapes, the size of the group, whether it opens with a zero, and the
-word before it. Weights come from labelled_table(), a small table of labelled sentences, by maximum
+two words before it. Weights come from labelled_table(), a small table of labelled sentences, by maximum
 likelihood (forward-backward, full-batch Adam) in a few seconds. Decoding is Viterbi in numpy, over batches of
 groups padded to a common length. A text's groups are separate chains, each with its own start: text between them, and groups with fewer than MIN_DIGITS
 digits, belong to no chain. A group is decoded whole, however long (about 100 bytes of memory a token of it). A decoded span is kept
@@ -117,10 +117,11 @@ def features(tokens: list[str], before: str, lo: int = 0, hi: int | None = None)
     digits = sum(len(t) for t in tokens if t[0].isdigit())
     first = next((t for t in tokens if t[0].isdigit()), "")
     size, zero = f"n{min(digits, 20)}", f"z{first[:1] == '0'}"
+    *_, farther, word = ["", "", *before.split()]
     out = []
     for i in range(hi - lo):
         a, b, c, d, e = shapes[i : i + 5]
-        out.append(["bias", f"s={c}", f"p={b}", f"q={d}", f"pc={b}|{c}", f"cq={c}|{d}", f"pcq={b}|{c}|{d}", f"aa={a}|{b}", f"ee={d}|{e}", f"{size}|{c}", f"{zero}|{size}|{c}", f"w={before}", f"first={lo + i == 0}", f"w={before}|{c}", f"w={before}|{size}"])
+        out.append(["bias", f"s={c}", f"p={b}", f"q={d}", f"pc={b}|{c}", f"cq={c}|{d}", f"pcq={b}|{c}|{d}", f"aa={a}|{b}", f"ee={d}|{e}", f"{size}|{c}", f"{zero}|{size}|{c}", f"w={word}", f"v={farther}", f"first={lo + i == 0}", f"w={word}|{c}", f"w={word}|{size}", f"v={farther}|{c}", f"v={farther}|{size}"])
     return out
 
 
@@ -137,7 +138,7 @@ def labelled_table() -> list[tuple[str, list[Span]]]:
         "-": ["###-###-####", "###-##-####", "### ### ####", "##-###-####"],  # of articles: only the word before tells
     }
     words = {
-        "phone": ["call", "phone", "tel", "mobile", "cell", "ring", "llame", "telefon", "appelez", "fax", "number", "handy", "at", "und", "de"],
+        "phone": ["call", "phone", "tel", "mobile", "cell", "ring", "llame", "telefon", "appelez", "fax", "handy", "reach", "dial", "at", "und", "de"],
         "card": ["card", "visa", "karte", "tarjeta", "carte", "paid", "at", "und", "de"],
         "ip": ["host", "server", "ip", "address", "at", "und", "de"],
         "id": ["ssn", "social", "insurance", "security", "id", "at", "und", "de"],
@@ -155,10 +156,11 @@ def labelled_table() -> list[tuple[str, list[Span]]]:
                 known = [w for w in words[kind] if w not in ("at", "und", "de")]
             else:
                 known = words[kind]
-            for i in range(2 * len(known) if kind == "-" else 16 if kind else 20):
+            for i in range(4 * len(known) if kind == "-" else 2 * len(known) if kind else 28):
                 word = known[i % len(known)]
                 value = write(form)
-                head = f"we see {word}: " if i % 3 == 0 else f"the {word} "
+                heads = (f"we see {word}: ", f"the {word} ", f"his {word} is ", f"{word} number ", f"a {word} no. ", f"{word} at ", f"{word} le ")
+                head = heads[i % len(heads)]
                 text = f"{head}{value}{' and then' if i % 2 else '.'}"
                 rows.append((text, [(len(head), len(head) + len(value), kind)] if kind in KINDS else []))
     return rows
@@ -282,15 +284,21 @@ class Crf:
         return cls(data.vocabulary, *weights)
 
 
-def _before(text: str, start: int) -> str:
-    """The word that ends at most three marks or spaces before start."""
+def _word_before(text: str, start: int) -> tuple[int, str]:
+    """Start of the word that ends at most three marks or spaces before start, and the word."""
     end = start
     while end > max(0, start - 3) and not (text[end - 1].isalnum() or text[end - 1] == "_"):
         end -= 1
     begin = end
     while begin and text[begin - 1].isalpha():
         begin -= 1
-    return text[begin:end].lower()
+    return begin, text[begin:end].lower()
+
+
+def _before(text: str, start: int) -> str:
+    """The two words before start, the farther one first."""
+    begin, word = _word_before(text, start)
+    return f"{_word_before(text, begin)[1]} {word}" if word else ""
 
 
 @lru_cache(maxsize=1)
