@@ -323,3 +323,24 @@ def test_a_permanent_failure_poisons_a_pull(spark):
     decoder = PullDecoder(lambda cursor: Request("u", params={"at": cursor or "0"}), lambda r: Page(json.loads(r.body)["items"], json.loads(r.body)["next"]))
     pulled = http_source(spark, client, decoder, "v long")
     assert (pulled.eof, pulled.error.kind) == ("poison", "PermanentFailure") and sorted(r["v"] for r in pulled.rows.collect()) == [0, 1]
+
+
+def test_large_numbers_and_nulls_pass_effects_sinks_and_streams(spark, tmp_path):
+    import sqlite3
+
+    from tributary.sinks.database import PostgresSink
+
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a"), (None, "b")], "v long, p string").repartition(1)
+    assert {r["v"] for r in tokens.perform(df, "p", str.upper).collect()} == {big, None}
+    path = str(tmp_path / "db")
+    sqlite3.connect(path).execute("create table t (v integer, p text)").connection.commit()
+    assert PostgresSink("insert into t (v, p) values (?, ?)", "t", ["v", "p"], lambda: sqlite3.connect(path)).write(df) == 2
+    assert sorted(sqlite3.connect(path).execute("select v, p from t").fetchall(), key=repr) == sorted([(big, "a"), (None, "b")], key=repr)
+
+    async def produce(number):
+        return [("k", 1, big), ("k", 2, None)] if number == 0 else None
+
+    stream = async_infinite(spark, produce, "k string, o long, v long")
+    out = lowering.stateful(stream, ["k"], "o", lambda: ("",), lambda s, r: (f"{s[0]},{r['v']}",), lambda k, s: [(*k, *s)], "k string, seen string", "seen string")
+    assert max(r["seen"] for r in drained(spark, tmp_path, out)) == f",{big},None"

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -289,13 +290,13 @@ Provider = Callable[[str], str]
 def perform(df: DataFrame, prompt: str, provider: Provider, reply: str = "reply") -> DataFrame:
     """df with a reply per row. Exceptions become marked rows of kind Remote, or of their own kind; a FatalError fails the stage."""
     base = marked(df)
-    names = [*base.columns, reply]
     schema = T.StructType([*base.schema.fields, T.StructField(reply, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            replies, kinds, messages = [], list(batch["_error_kind"]), list(batch["_error_message"])
-            for i, (text, kind) in enumerate(zip(batch[prompt], kinds, strict=True)):
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))  # the others pass as they are
+            replies, kinds, messages = [], columns["_error_kind"].to_pylist(), columns["_error_message"].to_pylist()
+            for i, (text, kind) in enumerate(zip(columns[prompt].to_pylist(), kinds, strict=True)):
                 out = None
                 if kind is None:
                     try:
@@ -305,9 +306,10 @@ def perform(df: DataFrame, prompt: str, provider: Provider, reply: str = "reply"
                     except Exception as error:
                         kinds[i], messages[i] = getattr(error, "kind", "Remote"), str(error)
                 replies.append(out)
-            yield batch.assign(_error_kind=kinds, _error_message=messages, **{reply: replies})[names]
+            columns |= {name: pa.array(values, pa.string()) for name, values in (("_error_kind", kinds), ("_error_message", messages), (reply, replies))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return base.mapInPandas(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def inference(df: DataFrame, prompt: str, provider: Provider, reply: str = "reply") -> Lanes:

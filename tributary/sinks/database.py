@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MAX_IDENTIFIER, MAX_BATCH = 63, 1000
@@ -46,18 +46,18 @@ class PostgresSink:
     def write(self, df: DataFrame, order: str | None = None) -> int:
         statement, columns, connect, size = self.statement, self.columns, self.connect, self.batch
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             connection, n = connect(), 0
             try:
                 cursor = connection.cursor()
-                for frame in frames:
-                    rows = frame[columns].astype(object).where(frame[columns].notna(), None).values.tolist()
+                for batch in batches:
+                    rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
                     for i in range(0, len(rows), size):
                         cursor.executemany(statement, rows[i : i + size])
                     n += len(rows)
                 connection.commit()
             finally:
                 connection.close()
-            yield pd.DataFrame({"n": [n]})
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-        return sum(r["n"] for r in df.select(*columns).mapInPandas(run, "n long").collect())  # one row per partition
+        return sum(r["n"] for r in df.select(*columns).mapInArrow(run, "n long").collect())  # one row per partition

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -50,6 +51,12 @@ def stateful(
     rows for so long emits and ends.
     """
     columns = [c.split()[0] for c in output_schema.split(",")]
+    # pandas has no exact integers beside nulls: whole numbers travel as text and are read back here.
+    whole = [f.name for f in stream.schema.fields if isinstance(f.dataType, T.IntegralType) and f.name not in keys]
+    stream = stream.withColumns({c: F.col(c).cast("string") for c in whole}) if whole else stream
+
+    def exact(row: dict) -> dict:
+        return row | {c: None if pd.isna(row[c]) else int(row[c]) for c in whole}
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows_since, opened, *kept = state.get if state.exists else (0, None, *initial())
@@ -58,8 +65,8 @@ def stateful(
             yield pd.DataFrame(list(outputs(key, tuple(kept))), columns=columns)
             return
         out, now = [], state.getCurrentProcessingTimeMs() / 1000 if idle_seconds or emission.resets else 0.0
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable").to_dict("records")
-        for row in rows:
+        rows = [exact(row) for frame in frames for row in frame.to_dict("records")]
+        for row in sorted(rows, key=lambda row: (row[order] is not None, row[order])):
             kept = accumulate(tuple(kept), row)
             rows_since += 1
             opened = now if opened is None else opened
