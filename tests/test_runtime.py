@@ -286,7 +286,8 @@ def test_scopes_delete_what_was_written_in_them(spark):
     with storage.scope(spark):
         gone = storage.materialise(finite(spark, [(2,)], "v long"), "gone")
         assert gone.count() == 1
-    assert not storage.exists(spark, gone._scratch_path) and kept.count() == 1
+        saved = storage.keep(storage.materialise(finite(spark, [(3,)], "v long"), "saved"))
+    assert not storage.exists(spark, gone._scratch_path) and kept.count() == 1 and saved.count() == 1
     storage.discard(kept)
     assert not storage.exists(spark, kept._scratch_path)
 

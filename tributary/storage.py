@@ -96,6 +96,18 @@ def discard(table: DataFrame) -> None:
         remove(table.sparkSession, path)
 
 
+def keep(table: DataFrame) -> DataFrame:
+    """table, taken out of the scope it was written in: it lives until the scope around that ends."""
+    path = getattr(table, "_scratch_path", None)
+    for i, paths in enumerate(_scopes):
+        if path in paths:
+            paths.remove(path)
+            if i:
+                _scopes[i - 1].append(path)
+            break
+    return table
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Delete at its end the intermediate tables that were written within. What was built from them must have been read by then."""
