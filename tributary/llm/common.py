@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialise, scope
+from ..storage import discard, keep, materialise, scope
 
-__all__ = ["LOWER", "UPPER", "WORD", "discard", "let", "lower_ascii", "materialise", "scope", "table", "word_count"]
+__all__ = ["LOWER", "UPPER", "WORD", "discard", "keep", "let", "lower_ascii", "materialise", "scope", "table", "word_count"]
 
 #: ASCII letters, for the lower-casing that touches A-Z only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

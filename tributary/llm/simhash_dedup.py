@@ -51,8 +51,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SUPPORT = 0.001
 #: Runs up to this many rows are compared pair by pair in one vectorised step.
 _SHORT = 8
-#: A key is hot, and its rows are split further, if so many of one in HOT_SHARE fingerprints have it.
-HOT_SHARE, HOT_ROWS = 64, 512
+#: A key is hot, and its rows are split further, if HOT_ROWS or more of one in HOT_SHARE fingerprints have it. There are at most HOT_KEYS: with very many
+#: fingerprints more rows make a key hot.
+HOT_SHARE, HOT_ROWS, HOT_KEYS = 64, 512, 65_536
 #: For keep_one: words of a shingle, least similarity, 64-bit words of a fingerprint, bits of a segment, distance of candidates in the first two
 #: words, and that of the similarity in all.
 WIDE_SHINGLE, SIMILARITY, WIDE_WORDS, WIDE_SEGMENT, MEETING = 5, 0.8, 8, 20, 26
@@ -241,14 +242,15 @@ def _linker(key_columns: list[str], columns: list[str], distance: int):
 
 
 def _hot_keys(distinct: DataFrame) -> np.ndarray:
-    """Keys that many distinct fingerprints share, by a sample of them: at most 64 / (HOT_SHARE * HOT_ROWS) as many as fingerprints."""
+    """Keys that many distinct fingerprints share, by a sample of them: HOT_KEYS at most, or about that many."""
+    least = max(HOT_ROWS, 64 * distinct.count() // HOT_SHARE // HOT_KEYS)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_keys(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)).ravel())], ["key"])
 
     sample = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(HOT_SHARE)) == 0).select("fp").mapInArrow(keys, "key long")
-    found = sample.groupBy("key").count().filter(F.col("count") >= HOT_ROWS).select("key")
+    found = sample.groupBy("key").count().filter(F.col("count") >= least).select("key")
     return np.array(sorted(r["key"] for r in found.collect()), np.int64)
 
 
