@@ -19,7 +19,7 @@ def drops_by_force(rows):
                 continue
             tokens = [wild(t) for t in raw.split(" ")]
             n, sound = len(tokens), tokens.count(lines.WILD) <= free(len(tokens))
-            if n >= lines.LONG_TOKENS:
+            if n >= lines.LONG_TOKENS and n - tokens.count(lines.WILD) >= lines.LEADING:
                 wholes[tuple(tokens) if n >= lines.VERY_LONG_TOKENS and sound else (raw,)].add((doc, pos))
             if sound:
                 leaves[(n, *(tokens if n < lines.MIN_TOKENS else tokens[: lines.LEADING]))].append((doc, pos, tuple(tokens)))
@@ -90,7 +90,7 @@ def test_rows_of_numbers_stay(spark, documents):
     rng = random.Random(1)
     table = lambda: "\n".join(f"{rng.randrange(99)} {rng.randrange(999)} {rng.random():.3f}" for _ in range(20))
     sheet = lambda: "\n".join(" ".join(str(rng.randrange(99)) for _ in range(60)) for _ in range(3))
-    rows = [(i, f"{table()}\n{sheet()}\nrow {i} 7 8 9\n0 0 0") for i in range(10)]
+    rows = [(i, f"{table()}\n{sheet()}\nrow {i} 7 8 9\n0 0 0\n{'0 ' * 12}1\nsum of {'0 ' * 60}") for i in range(10)]
     assert all(r["n_dropped"] == 0 for r in lines.dedup_lines(documents(*rows), report=True).collect())
 
 

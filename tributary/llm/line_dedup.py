@@ -11,7 +11,7 @@ recurring template are dropped from every document but the first (smallest doc_i
 
 Long lines recur without a template. A line of LONG_TOKENS or more that two documents have letter by letter
 is no chance, and from VERY_LONG_TOKENS on its numbers may differ as well (within the rule above): it stays in the first document
-only.
+only. It must have LEADING tokens without a digit: rows of numbers alone may well be alike by chance.
 
 How it scales. Pass one explodes lines to hashes (their leaves, and long lines whole; no text) and counts them by
 map-side partial sums. Pass two keeps the lines whose leaf or whole several documents reach, few in most corpora; text
@@ -69,7 +69,7 @@ def _lines(rows: DataFrame) -> DataFrame:
     tree = F.when(size < MIN_TOKENS, _key(_SHORT, size, line)).otherwise(_key(_LEAF, size, F.substring_index(line, " ", LEADING)))
     kind = F.lit("whole")
     whole = F.when((size >= VERY_LONG_TOKENS) & sound, _key(_WHOLE, kind, line)).when(size >= LONG_TOKENS, _key(_WHOLE, kind, F.col("_raw")))
-    return lines.withColumn("_leaf", F.when(sound, tree)).withColumn("_whole", whole)
+    return lines.withColumn("_leaf", F.when(sound, tree)).withColumn("_whole", F.when(size - F.col("_wild") >= LEADING, whole))
 
 
 def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
