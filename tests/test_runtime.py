@@ -345,3 +345,30 @@ def test_large_numbers_and_nulls_pass_effects_sinks_and_streams(spark, tmp_path)
     stream = async_infinite(spark, produce, "k string, o long, v long")
     out = lowering.stateful(stream, ["k"], "o", lambda: ("",), lambda s, r: (f"{s[0]},{r['v']}",), lambda k, s: [(*k, *s)], "k string, seen string", "seen string")
     assert max(r["seen"] for r in drained(spark, tmp_path, out)) == f",{big},None"
+
+
+def test_an_ingress_is_served_over_http(spark, tmp_path):
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from tributary.sources.ingest import Ingress, bearer, serve
+
+    served = serve(Ingress(spark, str(tmp_path / "spool"), auth=bearer({"t"}), max_body=200), interval=0.1)
+
+    def post(path, item, token="t"):
+        request = Request(served.address + path, json.dumps(item).encode(), {"Authorization": f"Bearer {token}"})
+        try:
+            with urlopen(request, timeout=10) as response:
+                return response.status, json.loads(response.read())["accepted"]
+        except HTTPError as error:
+            return error.code, 0
+
+    try:
+        assert urlopen(served.address + "/health", timeout=10).status == 200
+        assert post("/events", {"event_type": "a.v1", "data": {"x": 1}}) == (200, 1)
+        assert post("/batch", [{"event_type": "a.v1", "data": {"x": 2}}, {"data": 3}]) == (200, 1)
+        assert post("/events", {"event_type": "a.v1", "data": {"x": 4}}, "wrong") == (401, 0)
+        assert post("/events", {"event_type": "a.v1", "data": "y" * 500}) == (413, 0)
+    finally:
+        served.close()
+    assert served.ingress.read().count() == 2
