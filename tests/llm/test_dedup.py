@@ -235,3 +235,38 @@ def test_similar_texts_are_found_and_others_left(spark, documents):
             found["near" if j >= 0.85 else "far"].append(out[i] == out[i + 1])
     assert sum(found["near"]) >= 0.85 * len(found["near"]) > 60 and sum(found["far"]) <= 0.02 * len(found["far"]) and len(found["far"]) > 60
     assert sum(len({out[i], out[j]}) == 1 for i in range(0, 480, 2) for j in range(0, i, 2)) == 0
+
+
+def test_every_pair_at_the_similarity_is_in_one_group(spark, documents, monkeypatch):
+    rng = random.Random(15)
+    rows = ["", " ", "one two", "One  two", "a b c d " * 50, "a b c d " * 9 + "a"]
+    for _ in range(150):  # pairs near the similarity, which the fingerprints find about half of
+        n = rng.choice([8, 9, 30, 120, 400])
+        words = [f"w{rng.randrange(4000)}" for _ in range(n)]
+        share = rng.choice([0.005, 0.02, 0.025])
+        rows += [" ".join(words), " ".join("q" if rng.random() < share else w for w in words), " ".join(words[rng.randrange(0, 1 + n // 5) :])]
+    rows += [" ".join(["the same words in front of all texts and behind them"] * 3 + [f"v{rng.randrange(9000)}" for _ in range(12)]) for _ in range(40)]
+    weighted = " ".join(f"x{i}" for i in range(60))  # one set of shingles, counted differently
+    rows += [weighted + " " + " ".join([weighted] * k) + " x0 x1 x2 x3" + " x0 x1 x2 x3 x4 x5" * m for k, m in ((1, 0), (1, 90), (30, 90))]
+    words = [t.lower().split() for t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    shares = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(rows)) for j in range(i)}
+    pairs = [p for p, s in shares.items() if s >= 0.8]
+    assert any(s == 0.8 for s in shares.values()) and len(pairs) > 150
+    for share in (sim.SHINGLE_SHARE, 1):  # with and without frequent shingles known
+        monkeypatch.setattr(sim, "SHINGLE_SHARE", share)
+        out = {r["doc_id"]: r["component_id"] for r in sim.similar_groups(documents(*enumerate(rows)), exact=True).collect()}
+        assert [(i, j) for i, j in pairs if out[i] != out[j]] == []
+    # What is in one group is linked through texts of about that similarity.
+    assert len(set(out.values())) > 150
+
+
+def test_the_stage_keeps_one_of_every_similar_pair(spark, documents):
+    rows = []
+    for i in range(60):  # 90 shingles and 72 of them: the fingerprints do not find all of these pairs
+        words = [f"w{i}x{k}" for k in range(94)]
+        rows += [" ".join(words), " ".join(words[18:])]
+    assert jaccard(*rows[:2]) == 0.8
+    docs = documents(*enumerate(rows))
+    assert len({r["component_id"] for r in sim.similar_groups(docs).collect()}) > 60
+    assert sorted(r["doc_id"] for r in sim.keep_one(docs).collect()) == list(range(0, 120, 2))
