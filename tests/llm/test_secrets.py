@@ -121,3 +121,20 @@ def test_step_up_rule_matches_brute_force(spark):
             last = max((x for i, x in enumerate(p, 1) if x <= alpha * i / len(p)), default=None)
             rejected = sum(x <= last for x in p) if last else 0
             assert rejected == sum(s == size and size in got and b >= got[size] for s, b in bins)
+
+
+def test_every_word_of_the_corpus_is_in_the_null(spark, monkeypatch):
+    rng = random.Random(24)
+    words = sorted({"".join(rng.choices("abcdefghij", k=rng.randrange(6, 12))) for _ in range(7000)})
+    seen = []
+    joined = scan.joined_tokens
+    monkeypatch.setattr(scan, "joined_tokens", lambda ws: seen.append(sorted(r["t"] for r in joined(ws).collect())) or joined(ws))
+    scan.written_words(spark.createDataFrame([(" ".join(words[i : i + 50]),) for i in range(0, len(words), 50)], "text string"))
+    tokens = seen[0]
+    # Each word's letters are in one token of every style: capitalised and plain, with and without digits.
+    plain = [t for t in tokens if t.islower() and t.isalpha()]
+    total = sum(map(len, {*words, *scan.VOCABULARY}))
+    assert sum(map(len, plain)) == total and sum(sum(c.isalpha() for c in t) for t in tokens) == 4 * total
+    assert all(any(w in t for t in plain) for w in words[::50])
+    few = [r["t"] for r in joined(spark.createDataFrame([], "w string")).collect()]
+    assert len(few) >= 0.8 * 4 * scan.NULL_TOKENS

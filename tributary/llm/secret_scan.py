@@ -15,8 +15,9 @@ TOLERANCE standard deviations of what such a draw gives, else p is 1. Could it h
 normal score against written text in that encoding: letter and pair frequencies, their spread and the mean word length come from all words of the
 corpus (each distinct word once, times the logarithm of its count, so that no phrase makes the language) and a small
 built-in vocabulary, and expectations follow from them per encoding: conditional on the letters hex has, with two class changes a word where
-both cases occur, and so on. The scores depend on each other, so their weighted sum is judged against an empirical null: the sums of NULL_TOKENS
-tokens an encoding, joined from a hash-drawn sample of at most NULL_WORDS of the corpus' words, give its mean and deviation (widened by NULL_SLACK).
+both cases occur, and so on. The scores depend on each other, so their weighted sum is judged against an empirical null: all distinct words of the corpus and the
+vocabulary are dealt into tokens of four to eight, every word into one token of each style, and the sums of these tokens give its mean and deviation (widened by
+NULL_SLACK). Few words are dealt several times, each as often, until there are about NULL_TOKENS tokens a style.
 Without a corpus the sum is divided by the sum of the weights, which no dependence exceeds.
 Tokens of one length class (powers of two) are controlled together at level ALPHA by the
 Benjamini-Hochberg step-up rule: short tokens, of which there are many and whose tests are weak, do not
@@ -53,8 +54,9 @@ TOKEN = f"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
 _BLOCK = 256
 #: Standard deviations within which a random draw's statistics lie; weights of the three written-text scores.
 TOLERANCE, SCORES = 4.0, (1.0, 1.0, 2.0)
-#: Sample of words and number of joined tokens for the null of each encoding, and what its deviation is multiplied by.
-NULL_WORDS, NULL_TOKENS, NULL_SLACK = 2000, 1000, 1.25
+#: Least number of joined tokens a style for the null, about; words of a token, in turn; words that are dealt together, about; how many times
+#: that a task deals; what the deviation is multiplied by.
+NULL_TOKENS, NULL_LENGTHS, NULL_HAND, NULL_TASK, NULL_SLACK = 1000, (4, 5, 6, 7, 8), 600, 64, 1.25
 #: Words of the corpus: whole runs of letters, shorter than the tokens under test.
 WORD = rf"(?<![A-Za-z0-9+/_-])[A-Za-z]{{1,{MIN_LENGTH - 1}}}(?![A-Za-z0-9+/_-])"
 #: Written words that count beside the corpus', for small corpora, each VOCABULARY_WEIGHT times.
@@ -183,19 +185,32 @@ def written_words(docs: DataFrame, text_col: str = "text") -> Written:
     off = let(_pair_sum(codes, plain), lambda s: F.pow(s["sum"] - s["n"] * mean, F.lit(2.0)))
     more = words.filter(F.length("w") > 1).agg((F.sum(F.col("n") * off) / F.sum(F.col("n") * (F.length("w") - 1) * variance)).alias("r")).first()["r"]
     written = Written.of(pairs, length, max(_SPREAD, more or 0.0))
-    drawn = words.filter(F.length("w") > 1).orderBy(F.xxhash64("w"), "w").limit(NULL_WORDS).collect()
-    return replace(written, null=_null(docs.sparkSession, written, sorted({*VOCABULARY, *(r["w"] for r in drawn)})))
-
-
-def _null(spark: SparkSession, written: Written, vocabulary: list[str]) -> dict[int, tuple[float, float]]:
-    """Mean (0 at least) and deviation of the scores of tokens joined from written words, by encoding."""
-    table = F.array(*[F.lit(w) for w in vocabulary])  # folded to one constant
-    pick = lambda i, seed: F.element_at(table, (F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(len(vocabulary))) + 1).cast("int"))
-    digit = lambda i: F.pmod(F.xxhash64("id", i, F.lit(1)), F.lit(10)).cast("string")
-    styles = {26: lambda i: pick(i, 2), 36: lambda i: F.concat(pick(i, 3), digit(i)), 52: lambda i: F.initcap(pick(i, 4)), 64: lambda i: F.concat(F.initcap(pick(i, 5)), digit(i))}
-    places = F.sequence(F.lit(1), (4 + F.pmod(F.xxhash64("id"), F.lit(5))).cast("int"))
-    tokens = F.array(*(F.array_join(F.transform(places, f), "") for f in styles.values()))
-    rows = spark.range(NULL_TOKENS).select(F.explode(tokens).alias("t")).filter(F.char_length("t") >= MIN_LENGTH)
+    return replace(written, null=_null(written, words.filter(F.length("w") > 1).select("w")))
+
+
+def joined_tokens(words: DataFrame) -> DataFrame:
+    """words(w) and the vocabulary dealt into tokens: t, one a style from each four to eight words. Every word is in as many tokens as every other."""
+    own = words.sparkSession.createDataFrame([(w,) for w in VOCABULARY], "w string")
+    words = words.union(own).distinct()
+    total = words.count()
+    rounds = -(-NULL_TOKENS * sum(NULL_LENGTHS) // (len(NULL_LENGTHS) * total))
+    hands = -(-total // NULL_HAND)
+    dealt = words.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("h", F.xxhash64("w", "round"))
+    dealt = dealt.withColumn("hand", F.pmod(F.xxhash64("w"), F.lit(hands)))
+    dealt = dealt.repartition(-(-hands // NULL_TASK), "round", "hand").groupBy("round", "hand").agg(F.sort_array(F.collect_list(F.struct("h", "w"))).alias("ws"))
+    turn = sum(NULL_LENGTHS)
+    turns = F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / turn).cast("int"))
+    cuts = lambda i: F.array(*(F.slice("ws", i * turn + sum(NULL_LENGTHS[:c]) + 1, F.lit(n)) for c, n in enumerate(NULL_LENGTHS)))
+    spans = F.flatten(F.transform(turns, cuts))
+    parts = dealt.select(F.explode(F.filter(spans, lambda x: F.size(x) > 0)).alias("ws"))
+    digit = lambda x: F.pmod(x["h"], F.lit(10)).cast("string")
+    styles = (lambda x: x["w"], lambda x: F.concat(x["w"], digit(x)), lambda x: F.initcap(x["w"]), lambda x: F.concat(F.initcap(x["w"]), digit(x)))
+    return parts.select(F.explode(F.array(*(F.array_join(F.transform("ws", f), "") for f in styles))).alias("t"))
+
+
+def _null(written: Written, words: DataFrame) -> dict[int, tuple[float, float]]:
+    """Mean (0 at least) and deviation of the scores of tokens joined from written words, by encoding. Tokens too short to be tested say nothing of those that are."""
+    rows = joined_tokens(words).filter(F.char_length("t") >= MIN_LENGTH)
     scored = rows.select(let(_figures(F.col("t"), written), lambda f: F.struct(f["k"].alias("k"), _score(f, written).alias("s"))).alias("x"))
     found = {r["k"]: (max(r["m"], 0.0), NULL_SLACK * r["d"]) for r in scored.groupBy("x.k").agg(F.avg("x.s").alias("m"), F.stddev("x.s").alias("d")).collect() if r["d"]}
     return {k: found[k if k in found else 36] for k in ENCODINGS} if 36 in found else {}
