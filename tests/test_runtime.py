@@ -14,7 +14,7 @@ from tributary.errors import FatalError, HandlerError
 from tributary.functions.statistics import Snapshot
 from tributary.journal.effects import EffectCache, effect_key, recorded
 from tributary.journal.runs import MemoryJournal
-from tributary.operators import handlers, tokens
+from tributary.operators import fold, handlers, tokens
 from tributary.operators.emission import EmitInterval, EveryN, TimeWindow
 from tributary.plans.flow import Flow, FlowError
 from tributary.schema import EventType
@@ -128,6 +128,38 @@ def test_one_breaker_guards_a_stage(spark):
     assert [r["_error_message"] for r in lanes.errors.orderBy("_seq").collect()] == ["down", "down", "circuit open"]
 
 
+@pytest.mark.parametrize("guard", ["bucket", "breaker"])
+def test_a_guard_is_handed_on_between_the_tasks_of_a_stage(spark, monkeypatch, guard):
+    """Its class travels with the functions, so a worker that hands it on can import it by name only as another class, or not at all."""
+
+    def provider(text):
+        if text == "bad":
+            raise OSError("down")
+        return text
+
+    monkeypatch.setattr(fold, "CHAIN_ROWS", 30)
+    chains, found = fold._chains, []
+    monkeypatch.setattr(fold, "_chains", lambda parts: found.append(chains(parts)) or found[-1])
+    data = [("bad" if i % 11 < 4 else "good", 7.0 * (i % 13) + 40.0 * (i // 13)) for i in range(200)]
+    limiter, switch = middleware.TokenBucket(0.1, 3), middleware.CircuitBreaker(failures=2, open_for=30)
+    want = []
+    for p, t in data:
+        if not (limiter.admit(t) if guard == "bucket" else switch.allows(t)):
+            want.append("rate limited" if guard == "bucket" else "circuit open")
+        else:
+            switch.record(p != "bad", t)
+            want.append("down" if p == "bad" else None)
+    make = {"bucket": lambda: middleware.TokenBucket(0.1, 3)} if guard == "bucket" else {"breaker": lambda: middleware.CircuitBreaker(failures=2, open_for=30)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        lanes = middleware.guarded_stage(finite(spark, data, "p string, t double"), "p", provider, "_seq", "t", **make)
+        got = lanes.data.unionByName(lanes.errors).orderBy("_seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found[0]) > 2
+    assert [r["_error_message"] for r in got] == want and len(set(want)) == 3
+
+
 def test_signal_gates():
     slept = []
     assert middleware.SignalGate().resolve("eof")

@@ -16,6 +16,7 @@ import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,7 +85,7 @@ def global_fold(parts: DataFrame, order: str | Column | Sequence[str | Column],
     arrow, spark = arrow_schema(kind), parts.sparkSession
     chains = _chains(parts)
     carried_arrow = pa.schema([*arrow, pa.field("_state", pa.binary())])
-    carried = T.StructType([*kind.fields, T.StructField("_state", T.BinaryType())])
+    carried = T.StructType([*(T.StructField(f.name, f.dataType, True, f.metadata) for f in kind), T.StructField("_state", T.BinaryType())])  # all null beside a state
 
     def folded(batches: Iterator[pa.RecordBatch], state: object, over: list) -> Iterator[dict]:
         for batch in batches:
@@ -109,7 +110,8 @@ def global_fold(parts: DataFrame, order: str | Column | Sequence[str | Column],
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             over: list = []
             yield from _sent(folded(batches, pickle.loads(first_state) if first_state else initial(), over), carried_arrow)
-            yield arrow_rows([{"_state": pickle.dumps(over[0])}], carried_arrow)
+            # As the step itself: a class that travelled here by value cannot be pickled by name.
+            yield arrow_rows([{"_state": cloudpickle.dumps(over[0])}], carried_arrow)
 
         return run
 
