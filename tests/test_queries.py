@@ -32,6 +32,28 @@ def test_query_matches_sql(spark, oracle, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize(("first", "kind"), [(0, "bigint"), (2**53, "decimal(38,0)")])
+def test_sums_of_journal_reads_that_a_long_does_not_hold(spark, tmp_path, first, kind):
+    """The SQL itself fails there; without its last cast it gives what the query does."""
+    db = duckdb.connect()
+    db.execute(f"CREATE TABLE events AS SELECT {first} + i AS event_id, i % 9 AS user_id FROM range(400) t(i)")
+    db.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    sql = f"SELECT read, n, ids FROM ({ORACLES['jr03_journal_reads']})"
+    if first:
+        with pytest.raises(duckdb.ConversionException):
+            db.execute(sql).fetchall()
+        sql = sql.replace("AS BIGINT", "AS HUGEINT")
+    df = QUERIES["jr03_journal_reads"](spark, str(tmp_path))
+    assert df.dtypes == [("read", "string"), ("n", "bigint"), ("ids", kind)]
+    assert sorted((r["read"], r["n"], int(r["ids"])) for r in df.collect()) == sorted(db.execute(sql).fetchall())
+
+
+def test_journal_reads_without_rows_have_no_sum(spark, tmp_path):
+    duckdb.sql("SELECT i AS event_id, i AS user_id FROM range(2) t(i)").write_parquet(f"{tmp_path}/events.parquet")
+    df = QUERIES["jr03_journal_reads"](spark, str(tmp_path))
+    assert {r["read"]: (r["n"], r["ids"]) for r in df.collect()} == {"after": (0, None), "at": (0, None), "last": (2, 1), "by_id": (0, None), "causal": (2, 2)}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
